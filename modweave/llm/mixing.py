@@ -2,7 +2,8 @@
 
 Within a source, documents stand in order of size; each expects target / source size copies. The prefix sums of the
 expected copies, shifted by one random offset per source, cross integers; a document is emitted once per integer that
-it crosses. As sizes are in order, what a source gives differs from its target by about one document at most.
+it crosses. As sizes are in order, what a source gives differs from its target by about one document at most, and of a
+fixed number of random offsets each source keeps the one that comes nearest.
 
 Order and prefix sums are distributed: documents are range-partitioned by source, size and a hash, each knows its
 place in its partition, and a table of one row per partition and source tells how many come before.
@@ -18,6 +19,7 @@ from modweave.llm.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its own size that a source may be asked for
+_TRIES = 48
 _OFFSETS = 1024  # offsets are odd multiples of 1 / (2 * _OFFSETS), which sums with whole numbers keep exactly
 
 
@@ -68,10 +70,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, t
     goal = goal.withColumnRenamed("source", "__source")
     parts = parts.join(goal, parts["source"].eqNullSafe(goal["__source"])).drop("__source")
     parts = parts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    parts = parts.withColumn("offset", (F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)), F.lit(_OFFSETS)) * 2 + 1) / F.lit(2.0 * _OFFSETS))
+    parts = parts.withColumn("hash", F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)))
     parts = parts.withColumnsRenamed({"source": "__source", "part": "__part"})
-    out = ordered.join(parts, (ordered["part"] == parts["__part"]) & ordered["source"].eqNullSafe(parts["__source"]))
-    rank = F.col("place") + F.col("before")
-    crossed = F.floor((rank + 1) * F.col("rate") + F.col("offset")) - F.floor(rank * F.col("rate") + F.col("offset"))
-    out = out.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long"))
+
+    def placed(parts: DataFrame) -> DataFrame:
+        out = ordered.join(parts, (ordered["part"] == parts["__part"]) & ordered["source"].eqNullSafe(parts["__source"]))
+        return out.withColumn("rank", F.col("place") + F.col("before"))
+
+    def copies(offset: Column) -> Column:
+        crossed = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
+        return F.least(crossed, F.ceil("rate")).cast("long")
+
+    def offset(k: int) -> Column:
+        return (F.pmod(F.col("hash") + k * (2 * _OFFSETS // _TRIES + 1), F.lit(_OFFSETS)) * 2 + 1) / F.lit(2.0 * _OFFSETS)
+
+    # of _TRIES random offsets, each source takes the one whose words come nearest its target
+    misses = [F.struct(F.abs(F.sum(copies(offset(k)) * F.col("size")) - F.first("target")).alias("miss"), F.first(offset(k)).alias("offset")) for k in range(_TRIES)]
+    best = placed(parts).groupBy(F.col("source").alias("__best")).agg(F.array_min(F.array(*misses)).alias("best"))
+    parts = parts.join(best, parts["__source"].eqNullSafe(best["__best"])).withColumn("offset", F.col("best.offset"))
+    out = placed(parts).withColumn("copies", copies(F.col("offset")))
     return out.select("doc_id", "tag", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
