@@ -1,16 +1,82 @@
-"""The corpus pipeline: language ID, near-duplicate removal, substring dedup, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicate removal, substring dedup, mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
+``run`` writes each stage's rows to the shared checkpoint folder, so that the next one reads them back.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modweave.llm.jaccard_join import near_duplicates
+from modweave.llm.language import UNKNOWN, languages
+from modweave.llm.mixing import mix
+from modweave.llm.packing import pack
+from modweave.llm.runtime import ensure_checkpoint_dir
+from modweave.llm.substring_dedup import substring_dedup
+
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*_COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language: those without any letter and those between two languages go; lang stays as given."""
+    judged = languages(docs.select(*_COLUMNS, F.col("text").alias("__text")).withColumnRenamed("__text", "kept"))
+    return _documents(judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).withColumnRenamed("kept", "text"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; repeated rows of it count as one."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return _documents(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that repeated windows cover; those that lose nothing stay as they are, those that lose all go."""
+    cleaned = substring_dedup(docs.select(*_COLUMNS, F.col("text").alias("__whole")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__whole"))
+    cleaned = cleaned.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    return _documents(cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix holds it."""
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("source").alias("__source"), "copies")
+    copies = copies.groupBy("__id", "__tag", "__source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tag")) & F.col("source").eqNullSafe(F.col("__source"))
+    mixed = docs.dropDuplicates(["doc_id", "text", "source"]).join(copies, same)
+    return _documents(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents, placed in sequences."""
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Trained models and tokenizer ids are not SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage applied to all that its predecessor kept."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
