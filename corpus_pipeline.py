@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modweave.llm.jaccard_join import near_duplicates
@@ -32,9 +32,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; repeated rows of it count as one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return _documents(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near copies, the one with the smallest doc_id; repeated rows of an id count as one.
+    Rows without a doc_id cannot be told apart and stay."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = docs.where("doc_id is not null").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
+    return _documents(first.join(kept, "doc_id", "left_semi")).unionByName(_documents(docs.where("doc_id is null")))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +50,13 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix holds it."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("source").alias("__source"), "copies")
-    copies = copies.groupBy("__id", "__tag", "__source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tag")) & F.col("source").eqNullSafe(F.col("__source"))
-    mixed = docs.dropDuplicates(["doc_id", "text", "source"]).join(copies, same)
+
+    def numbered(rows: DataFrame, tag: Column) -> DataFrame:  # repeated rows are told apart by number
+        rows = rows.withColumn("__key", F.xxhash64("doc_id", "source", tag))
+        return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id")))
+
+    copies = numbered(mix(docs), F.col("tag")).select("__key", F.col("__nth").alias("__same"), "copies").where("copies > 0")
+    mixed = numbered(docs, F.xxhash64("text")).join(copies, "__key").where("__nth - __same = 0")
     return _documents(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
