@@ -167,7 +167,9 @@ def _postings(n: int, seed: int, num: int, den: int):
     return run
 
 
-def _sets(n: int, seed: int, needed):
+def _sets(n: int, seed: int, needed, whole: bool):
+    """Size and sketch, or the whole set, of each class that the bitmap lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in batches:
@@ -178,12 +180,15 @@ def _sets(n: int, seed: int, needed):
                 keep = np.flatnonzero(in_bitmap(needed.value, h1) & (h1 != 0) & ~np.isin(h1, seen))
                 names, first = np.unique(h1[keep], return_index=True)
                 keep, seen = np.sort(keep[first]), np.union1d(seen[-_SEEN:], names)
-                if len(keep):
-                    parts = [grams[bounds[i] : bounds[i + 1]] for i in keep]
-                    sketch = pa.array([_sketch(g) for g in parts], pa.binary())
-                    flat = as_long(np.concatenate(parts))
-                    arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in parts])), pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([as_long(h1[keep]), pa.array(np.array([len(g) for g in parts])), sketch, arrays], ["cls", "n", "sketch", "grams"])
+                if not len(keep):
+                    continue
+                parts = [grams[bounds[i] : bounds[i + 1]] for i in keep]
+                if whole:
+                    ends = pa.array(np.append(0, np.cumsum([len(g) for g in parts])), pa.int32())
+                    yield pa.RecordBatch.from_arrays([as_long(h1[keep]), pa.ListArray.from_arrays(ends, as_long(np.concatenate(parts)))], ["cls", "grams"])
+                else:
+                    sizes, sketches = np.array([len(g) for g in parts]), [_sketch(g) for g in parts]
+                    yield pa.RecordBatch.from_arrays([as_long(h1[keep]), pa.array(sizes), pa.array(sketches, pa.binary())], ["cls", "n", "sketch"])
 
     return run
 
@@ -232,21 +237,25 @@ def _near_pairs(num: int, den: int):
     return run
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, seed: int) -> DataFrame:
-    """The sets of the classes in ``pairs``, and of a few others that a bounded bitmap lets through."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, n: int, seed: int, whole: bool) -> DataFrame:
+    """Sketches or whole sets of the classes in ``pairs``, and of a few others that a bounded bitmap lets through."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     needed = docs.sparkSession.sparkContext.broadcast(bitmap_of(F.col("cls"), ends))
-    return docs.select("text").mapInArrow(_sets(n, seed, needed), "cls long, n long, sketch binary, grams array<long>").dropDuplicates(["cls"])
+    columns = "cls long, grams array<long>" if whole else "cls long, n long, sketch binary"
+    return docs.select("text").mapInArrow(_sets(n, seed, needed, whole), columns).dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold; sketches and sizes drop most others before sets are moved."""
-    one = lambda c, *also: sets.select(F.col("cls").alias(c), *(F.col(x).alias(y) for x, y in also))
+def _links(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, n: int, seed: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold. Sketches and sizes drop most others before any set is moved."""
+    one = lambda c, *also: sketches.select(F.col("cls").alias(c), *(F.col(x).alias(y) for x, y in also))
     near = pairs.join(one("a", ("n", "na"), ("sketch", "sa")), "a").join(one("b", ("n", "nb"), ("sketch", "sb")), "b")
     near = near.where(f"na * {den} >= nb * {num} and nb * {den} >= na * {num}")
-    near = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_apart(num, den), "a long, b long")
-    both = near.join(one("a", ("grams", "x")), "a").join(one("b", ("grams", "y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"))
+    near = cut(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_apart(num, den), "a long, b long"))
+    sets = _sets_of(docs, near, n, seed, whole=True)
+    both = near.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(_verified(num, den), "a long, b long"))
+    tidy(docs.sparkSession)
+    return links
 
 
 def _apart(num: int, den: int):
@@ -285,8 +294,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     posted = cut(posted)
     tidy(docs.sparkSession)
     star = cut(posted.where("cls != rep").select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).distinct())
-    sets = _sets_of(docs, star, n, seed)
-    links = _links(star, sets, num, den)
+    sketches = cut(_sets_of(docs, star, n, seed, whole=False))
+    links = _links(docs, star, sketches, n, seed, num, den)
     roots = components(links, "a", "b")
 
     members = posted.select("key", "cls").union(posted.select("key", F.col("rep").alias("cls"))).distinct()
@@ -294,10 +303,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     open_keys = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x != y and size > 2").select("key", "size")
     members = cut(members.join(open_keys, "key"))
     if members.limit(1).count():
-        cells = _cells(members.join(sets.select("cls", "n", "sketch"), "cls"))
+        cells = _cells(members.join(sketches, "cls"))
         more = cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_near_pairs(num, den), "a long, b long")
         more = cut(more.distinct().join(star, ["a", "b"], "left_anti"))
-        links = links.union(_links(more, sets, num, den))
+        links = links.union(_links(docs, more, sketches, n, seed, num, den))
         roots = components(links, "a", "b")
     rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to any more."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
