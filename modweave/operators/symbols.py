@@ -7,12 +7,16 @@ out; a seed's verdict is the number of distinct definitions and packages among t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modweave.functions.storage import cut
 
 NAMESPACE = "*"
+BROADCAST_EXPORTS = 500_000  # exports up to which they are broadcast, some 100 MB as dictionaries
 
 
 def explicit_exports(exports: DataFrame) -> DataFrame:
@@ -47,12 +51,88 @@ def package_of(target: str):
     return F.regexp_extract(target, "^ext:(.*)$", 1)
 
 
+class Lookup:
+    """The states of a module graph whose exports fit the broadcast budget."""
+
+    def __init__(self, known: set[str], explicit: list, stars: list, locals_: list):
+        self.known, self.explicit = known, {(r.module, r.name): r for r in explicit}
+        self.stars: dict[str, list[str]] = {}
+        for r in stars:
+            self.stars.setdefault(r.module, []).append(r.to)
+        self.locals = {(r.module, r.local): (r.via, r.what) for r in locals_}
+
+    def ways(self, state: tuple[str, str]) -> Iterator[tuple[str, str, str]]:
+        """(step, module, name) for each way on from a state."""
+        module, name = state
+        e = self.explicit.get(state)
+        if e is None:
+            goals = [(to, name) for to in self.stars.get(module, ())]
+        elif e.kind in ("local", "default"):
+            goals = [self.locals[module, e.local]] if (module, e.local) in self.locals else []
+            if not goals:
+                yield "definition", module, e.local
+        elif e.kind == "namespaceStar" and not e.src.startswith("ext:"):
+            yield "definition", e.src, NAMESPACE
+            goals = []
+        else:
+            goals = [(e.src, e.imported)]
+        for to, what in goals:
+            yield ("external", to[4:], "") if to.startswith("ext:") else ("follow", to, what)
+
+    def verdict(self, seed: tuple[str, str]) -> tuple:
+        ends, loops, done, path = set(), False, set(), {seed}
+        stack = [(seed, self.ways(seed))] if seed[0] in self.known else []
+        while stack:
+            state, ways = stack[-1]
+            step = next(ways, None)
+            if step is None:
+                stack.pop()
+                path.discard(state)
+                done.add(state)
+            elif step[0] != "follow":
+                ends.add(step)
+            elif (to := step[1:]) in path:
+                loops = True
+            elif to not in done and to[0] in self.known:
+                path.add(to)
+                stack.append((to, self.ways(to)))
+        only = next(iter(ends)) if len(ends) == 1 else (None, None, None)
+        kind = "ambiguous" if len(ends) > 1 else only[0] or ("cyclic" if loops else "notFound")
+        single = kind == "definition"
+        return (*seed, kind, only[1] if single else None, only[2] if single else None, only[1] if kind == "external" else None, len(ends))
+
+
+def _kernel(shared):
+    names = ["module", "name", "verdict", "def_module", "def_name", "package", "n_ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shared.value.verdict(s) for s in zip(batch.column("module").to_pylist(), batch.column("name").to_pylist())]
+            columns = [[r[i] for r in rows] for i in range(7)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:6]), pa.array(columns[6], pa.int64())], names)
+
+    return run
+
+
 def resolve(seeds: DataFrame, modules: DataFrame, exports: DataFrame, locals_: DataFrame | None = None) -> DataFrame:
     """``(module, name, verdict, def_module, def_name, package, n_ends)`` for each distinct seed (module, name).
 
     verdict is definition, external, ambiguous (two or more distinct ends), cyclic (no end, but a cycle of re-exports)
-    or notFound. ``locals_`` (module, local, via, what) are import bindings that exports may refer to.
+    or notFound. ``locals_`` (module, local, via, what) are import bindings that exports may refer to. Where modules,
+    exports and bindings fit the broadcast budget, tasks walk them for their seeds; beyond it, joins do.
     """
+    tables = [modules, exports, *([locals_] if locals_ is not None else [])]
+    if sum(t.limit(BROADCAST_EXPORTS + 1).count() for t in tables) > BROADCAST_EXPORTS:
+        return join_resolve(seeds, modules, exports, locals_)
+    stars = exports.where("kind = 'star'").select("module", F.col("src").alias("to")).distinct()
+    lookup = Lookup({r.path for r in modules.select("path").collect()}, explicit_exports(exports).collect(), stars.collect(), locals_.collect() if locals_ is not None else [])
+    spark = seeds.sparkSession
+    some = seeds.select("module", "name").distinct().repartition(max(8, spark.sparkContext.defaultParallelism))
+    return some.mapInArrow(_kernel(spark.sparkContext.broadcast(lookup)), "module string, name string, verdict string, def_module string, def_name string, package string, n_ends long")
+
+
+def join_resolve(seeds: DataFrame, modules: DataFrame, exports: DataFrame, locals_: DataFrame | None = None) -> DataFrame:
+    """The same verdicts by joins: states that seeds lead to are explored once for all seeds, round by round."""
     explicit, stars = cut(explicit_exports(exports)), cut(exports.where("kind = 'star'").select("module", F.col("src").alias("to")).distinct())
     known = modules.select(F.col("path").alias("module"))
     seeds = cut(seeds.select("module", "name").distinct())

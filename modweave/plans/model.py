@@ -25,7 +25,8 @@ class Model:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        return df.persist()  # recomputed from its sources if an executor is lost
+        """Held in memory or on disk, recomputed from its sources if an executor is lost; unions come in as many parts as shuffles."""
+        return df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).persist()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
