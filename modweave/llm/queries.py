@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modweave.llm import oracles
 from modweave.llm.chat import format_chats, read_back
 from modweave.llm.jaccard_join import near_duplicates
 from modweave.llm.language import languages
@@ -80,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": oracles.CHAT,
+    "op5_embedding_dedup": oracles.VECTORS,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op10_jaccard_join": oracles.JACCARD,
+}
