@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from modweave.llm.words import mix
 WIDTH = 2.5  # of a quantisation step, on unit vectors
 _FAR = 0.566  # chance that two unrelated unit vectors, at distance sqrt(2), share one step of this width
 _BLOCK = 1024
-_ROWS = 4096
+_ROWS = 256
 
 
 class Projections:
@@ -44,7 +45,8 @@ class Projections:
         p = slice(first * self.projections, last * self.projections)
         steps = np.floor(unit @ self.directions[:, p] + self.offsets[p]).astype(np.int64).view(np.uint64)
         steps = steps.reshape(len(unit), last - first, self.projections)
-        out = np.broadcast_to(np.arange(first, last, dtype=np.uint64), steps.shape[:2]).copy()
+        dim = np.uint64(unit.shape[1])  # vectors of different lengths have no bucket in common
+        out = np.broadcast_to(mix(np.arange(first, last, dtype=np.uint64) ^ (dim << np.uint64(32))), steps.shape[:2]).copy()
         for j in range(self.projections):
             out = mix(out ^ steps[:, :, j], j + 1)
         return out
@@ -70,12 +72,12 @@ def _bucketed(tables: int, projections: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, Projections] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                dim = len(part.column("vector")[0])
+            lengths = pc.list_value_length(batch.column("vector")).to_numpy()
+            for dim in np.unique(lengths):
+                part = batch if (lengths == dim).all() else batch.filter(pa.array(lengths == dim))
                 by_dim.setdefault(dim, Projections(dim, tables, projections, seed))
-                for a in range(0, part.num_rows, 256):
-                    some = part.slice(a, 256)
+                for a in range(0, part.num_rows, _ROWS):
+                    some = part.slice(a, _ROWS)
                     keys = by_dim[dim].keys(unit_vectors(some.column("vector")))
                     rep = np.repeat(some.column("rep").to_numpy(), tables)
                     yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), some.num_rows)), pa.array(rep)], ["key", "tbl", "rep"])
@@ -103,14 +105,16 @@ def _cell_links(tables: int, projections: int, seed: int, least: float):
         for whole, begins in whole_groups(batches, ["key", "tbl", "p", "q"]):
             rep, copies, side = (whole.column(c).to_numpy() for c in ("rep", "copies", "side"))
             table, same = whole.column("tbl").to_numpy(), whole.column("p").to_numpy() == whole.column("q").to_numpy()
-            unit = unit_vectors(whole.column("vector").combine_chunks())
-            by_dim.setdefault(unit.shape[1], Projections(unit.shape[1], tables, projections, seed))
-            p = by_dim[unit.shape[1]]
+            vector = whole.column("vector").combine_chunks()
+            lengths = pc.list_value_length(vector).to_numpy()
+            unit = unit_vectors(vector) if (lengths == lengths[0]).all() else None
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip(begins[:-1], begins[1:]):
                 if e - s < 2:
                     continue
-                x = unit[s:e]
+                x = unit[s:e] if unit is not None else unit_vectors(vector.slice(s, e - s))
+                by_dim.setdefault(x.shape[1], Projections(x.shape[1], tables, projections, seed))
+                p = by_dim[x.shape[1]]
                 close = x @ x.T >= least
                 if same[s]:
                     close &= np.tri(e - s, k=-1, dtype=bool)
@@ -154,9 +158,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 128, seed
     classes = cut(valid.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     n = max(2, classes.count())
     projections = max(8, int(np.ceil(np.log(n / 0.06) / -np.log(_FAR))))
-    lengths = classes.select("rep", "vector", F.size("vector").alias("dim"))
-    reps = lengths.repartition("dim", "rep").sortWithinPartitions("dim") if lengths.select("dim").distinct().limit(2).count() > 1 else lengths
-    buckets = reps.select("rep", "vector").mapInArrow(_bucketed(tables, projections, seed), "key long, tbl int, rep long")
+    buckets = classes.select("rep", "vector").mapInArrow(_bucketed(tables, projections, seed), "key long, tbl int, rep long")
     several = buckets.withColumn("size", F.count("*").over(Window.partitionBy("key", "tbl"))).where("size > 1")
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
