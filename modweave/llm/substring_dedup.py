@@ -116,6 +116,8 @@ def _runs(base: int, window: int, known: list):
 
 def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which windows have an equal one with a smaller doc, or the same and a smaller start."""
+    if not len(h):
+        return np.zeros(0, bool)
     order = np.lexsort((start, doc, h))
     h, doc, start = h[order], doc[order], start[order]
     new = np.append(True, h[1:] != h[:-1])
