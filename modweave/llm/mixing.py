@@ -5,6 +5,10 @@ expected copies, shifted by one random offset per source, cross integers; a docu
 it crosses. As sizes are in order, what a source gives differs from its target by about one document at most, and of a
 fixed number of random offsets each source keeps the one that comes nearest.
 
+A few documents can be most of a source. So its largest ones form a certainty stratum: their expected copies are whole
+numbers, rounded up or down from the source's rate such that the error, carried from one to the next, stays least. The
+rate of the others makes up for what is left of it.
+
 Order and prefix sums are distributed: documents are range-partitioned by source, size and a hash, each knows its
 place in its partition, and a table of one row per partition and source tells how many come before.
 """
@@ -20,6 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its own size that a source may be asked for
 _TRIES = 48
+_CERTAIN = 32  # largest documents of a source whose expected copies are whole
 _OFFSETS = 1024  # offsets are odd multiples of 1 / (2 * _OFFSETS), which sums with whole numbers keep exactly
 
 
@@ -66,10 +71,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, t
     parts = cut(parts)  # one row per partition and source in it
     goal = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, total)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).drop("n", "size", "first")
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).drop("size", "first")
     goal = goal.withColumnRenamed("source", "__source")
     parts = parts.join(goal, parts["source"].eqNullSafe(goal["__source"])).drop("__source")
     parts = parts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    parts = parts.join(parts.groupBy(F.col("source").alias("__all")).agg(F.sum("n").alias("docs")), F.col("source").eqNullSafe(F.col("__all"))).drop("n", "__all")
     parts = parts.withColumn("hash", F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)))
     parts = parts.withColumnsRenamed({"source": "__source", "part": "__part"})
 
@@ -77,9 +83,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, t
         out = ordered.join(parts, (ordered["part"] == parts["__part"]) & ordered["source"].eqNullSafe(parts["__source"]))
         return out.withColumn("rank", F.col("place") + F.col("before"))
 
+    def rounded(acc: Column, doc: Column) -> Column:
+        """Words still owed after a document, and the copies so far with this one's."""
+        low, owed = F.floor("rate"), acc["owed"] + F.col("rate") * doc["size"]
+        up = (F.abs(owed - (low + 1) * doc["size"]) < F.abs(owed - low * doc["size"])) & (low < F.ceil("rate"))
+        c = (low + F.when(up, 1).otherwise(0)).cast("long")
+        return F.struct((owed - c * doc["size"]).cast("double").alias("owed"), F.concat(acc["copies"], F.array(c)).alias("copies"))
+
+    largest = placed(parts).where(F.col("rank") >= F.col("docs") - _CERTAIN)
+    largest = largest.groupBy(F.col("source").alias("__largest")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "size")))).alias("largest"), F.first("rate").alias("rate"), F.first("source_size").alias("source_size"))
+    start = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<bigint>)").alias("copies"))
+    largest = largest.withColumn("done", F.aggregate("largest", start, rounded))
+    rest = F.col("source_size") - F.aggregate("largest", F.lit(0).cast("long"), lambda n, d: n + d["size"])
+    rate = F.when(rest > 0, F.least(F.greatest(F.col("rate") + F.col("done.owed") / F.greatest(rest, F.lit(1)), F.lit(0.0)), F.lit(float(most)))).otherwise(F.col("rate"))
+    largest = cut(largest.select("__largest", F.col("done.copies").alias("certain"), rate.alias("rate")))  # one row per source
+    parts = parts.drop("rate").join(largest, F.col("__source").eqNullSafe(F.col("__largest"))).drop("__largest")
+
     def copies(offset: Column) -> Column:
         crossed = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
-        return F.least(crossed, F.ceil("rate")).cast("long")
+        certain = F.get("certain", (F.col("docs") - F.col("rank") - 1).cast("int"))
+        return F.when(F.col("rank") >= F.col("docs") - _CERTAIN, certain).otherwise(F.least(crossed, F.ceil("rate"))).cast("long")
 
     def offset(k: int) -> Column:
         return (F.pmod(F.col("hash") + k * (2 * _OFFSETS // _TRIES + 1), F.lit(_OFFSETS)) * 2 + 1) / F.lit(2.0 * _OFFSETS)
