@@ -1,6 +1,6 @@
 """Quality classifier by supervised subword embeddings.
 
-Each hashed word and character n-gram has a learned vector; a document is the average of its vectors, and a softmax
+Each hashed word, word pair and character n-gram has a learned vector; a document is the average of its vectors, and a softmax
 over a linear map of that average gives the classes' probabilities. Vectors and map are trained together by stochastic
 gradient descent in numpy, one document at a time, with steps that shrink per coordinate as gradients add up.
 
@@ -19,17 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modweave.llm.ngrams import code_points, grams, scored, spans, sums
-from modweave.llm.words import Words
+from modweave.llm.words import Words, window_hashes
 
-_N = (1, 2, 3)  # character n-grams beside words
+_N = (1, 2, 3)  # character n-grams beside words and word pairs
+_KINDS = 2 + len(_N)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words and each n: buckets, and each text's begin and number among them. Each kind has buckets of its own."""
+    """For words, word pairs and each n: buckets, and each text's begin and number among them. Each kind has buckets of its own."""
     words = Words(data, offsets)
     yield (words.hash >> np.uint64(64 - bits)).astype(np.int64), words.bounds[:-1], words.counts
+    pairs = window_hashes(words.hash, 2)
+    pairs[words.hash[1:] == words.hash[:-1]] = 0  # a word said twice is one and the same pair, whatever the word
+    yield (pairs >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits), *spans(words.bounds, 2)
     points, bounds = code_points(data, offsets)
-    for kind, n in enumerate(_N, 1):
+    for kind, n in enumerate(_N, 2):
         yield grams(points, n, bits) + (kind << bits), *spans(bounds, n)
 
 
@@ -46,11 +50,10 @@ class SubwordModel:
         return (self.vectors @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 8, epochs: int = 4, rate: float = 0.3, seed: int = 3) -> SubwordModel:
+def train(texts: list[str], labels: np.ndarray, bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.3, seed: int = 3) -> SubwordModel:
     """Fit the model to whole texts with labels 0 and 1; each class weighs as it occurs."""
     rng = np.random.default_rng(seed)
-    kinds = len(_N) + 1
-    model = SubwordModel(np.zeros((kinds << bits, dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), np.zeros(2), bits)
+    model = SubwordModel(np.zeros((_KINDS << bits, dim)), rng.normal(0, 1 / np.sqrt(dim), (dim, 2)), np.zeros(2), bits)
     rows = []
     for text in texts:
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -123,7 +126,7 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = 6000, threshold: fl
         bits = model.bits
     else:
         bits, bias = 4, 0.0
-        table = np.zeros((len(_N) + 1) << bits, np.float32)
+        table = np.zeros(_KINDS << bits, np.float32)
     lookup = docs.sparkSession.sparkContext.broadcast((table, bias, bits))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % buckets == held, F.lit(False))
