@@ -27,8 +27,8 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those without any letter and those between two languages go; lang stays as given."""
-    judged = languages(docs.select(*_COLUMNS, F.col("text").alias("__text")).withColumnRenamed("__text", "kept"))
-    return _documents(judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).withColumnRenamed("kept", "text"))
+    judged = languages(_documents(docs), keep_text=True)
+    return _documents(judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from modweave.llm.ngrams import code_points, grams, scored, spans, sums
 
 _N = (1, 2, 3)
 UNKNOWN = "und"
+_DRAWS = 1 << 40  # values of the hash that rows are drawn by
 
 
 def codewords(k: int, seed: int = 11) -> np.ndarray:
@@ -97,7 +98,7 @@ def train(texts: list[str], languages: list[str], bits: int = 15, epochs: int =
     return CodeModel(names, code, table.astype(np.float32), bias, trust, bits)
 
 
-def _run(shared, margin: float):
+def _run(shared, margin: float, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: CodeModel = shared.value
         names = np.array(model.languages, object)
@@ -110,7 +111,7 @@ def _run(shared, margin: float):
             return total / np.maximum(count, 1)[:, None] + model.bias
 
         for batch, margins in scored(batches, parts):
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = [c for c in batch.schema.names if keep_text or c != "text"]
             best, p, ahead = model.decode(margins)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names[best], pa.string()), pa.array(p), pa.array(ahead < margin)], [*rest, "lang_pred", "score", "ambiguous"])
 
@@ -121,13 +122,16 @@ def sample(docs: DataFrame, per_language: int, buckets: int = 3, held: int = 1)
     """At most ``per_language`` rows (lang, text) of each language, those with the smallest hash of doc_id; held-out ids are left out."""
     known = docs.where("doc_id is not null and lang is not null and text is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % buckets != held)
-    nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = known.select("doc_id", "lang", "text").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= per_language)
-    return chosen.select("doc_id", "lang", "text")
+    known = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)).alias("draw"))
+    # one row per language, as the model has; the rows drawn are about twice the bound, so no task sorts a whole language
+    sizes = known.groupBy(F.col("lang").alias("__lang")).agg((F.lit(2.0 * per_language * _DRAWS) / F.count("*")).alias("below"))
+    drawn = known.join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where("draw < below")
+    nth = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    return drawn.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= per_language).select("doc_id", "lang", "text")
 
 
-def languages(docs: DataFrame, per_language: int = 700, margin: float = 0.02, buckets: int = 3, held: int = 1) -> DataFrame:
-    """``docs`` without text and with held_out, lang_pred, score (0 to 1) and ambiguous.
+def languages(docs: DataFrame, per_language: int = 700, margin: float = 0.02, buckets: int = 3, held: int = 1, keep_text: bool = False) -> DataFrame:
+    """``docs`` without text (unless ``keep_text``) and with held_out, lang_pred, score (0 to 1) and ambiguous.
 
     Learns only text and lang of at most ``per_language`` rows a language, of documents whose crc32(doc_id as text)
     modulo ``buckets`` is not ``held``; a prediction depends on nothing but the whole text. Texts that are null or
@@ -139,13 +143,13 @@ def languages(docs: DataFrame, per_language: int = 700, margin: float = 0.02, bu
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % buckets == held, F.lit(False))
     rows = sorted((r.doc_id, r.lang, r.text) for r in sample(docs, per_language, buckets, held).collect())  # bounded per language
     nothing = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous")]
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     if not rows:
         return docs.select(*kept, *nothing).withColumn("held_out", held_out)
     model = docs.sparkSession.sparkContext.broadcast(train([r[2] for r in rows], [r[1] for r in rows]))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("__letters", letters).mapInArrow(_run(model, margin), f"{kinds}__letters boolean, lang_pred string, score double, ambiguous boolean")
+    out = docs.withColumn("__letters", letters).mapInArrow(_run(model, margin, keep_text), f"{kinds}__letters boolean, lang_pred string, score double, ambiguous boolean")
     out = out.withColumns({
         "lang_pred": F.when(F.col("__letters"), F.col("lang_pred")).otherwise(F.lit(UNKNOWN)),
         "score": F.when(F.col("__letters"), F.col("score")).otherwise(F.lit(0.0)),
