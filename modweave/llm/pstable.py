@@ -11,6 +11,7 @@ and links that connect what is connected here. Which table two vectors meet in f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,27 @@ WIDTH = 2.5  # of a quantisation step, on unit vectors
 _FAR = 0.566  # chance that two unrelated unit vectors, at distance sqrt(2), share one step of this width
 _BLOCK = 1024
 _ROWS = 256
+_TABLES = 128  # whose keys are computed at a time
+_PAIRS = 1 << 19  # linked pairs of cells that are settled at a time
+
+
+def one_step(cosine: float) -> float:
+    """Chance that two unit vectors with this cosine share one step of a random direction."""
+    if cosine >= 1:
+        return 1.0
+    r = WIDTH / math.sqrt(2 - 2 * cosine)
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def shape(n: int, least: float, recall: float, fewest: int) -> tuple[int, int]:
+    """(projections, tables) for ``n`` distinct vectors.
+
+    Projections follow n, so that unrelated vectors seldom meet; tables follow the projections, so that a pair at
+    cosine ``least`` shares a bucket with the chance ``recall`` or more whatever n is.
+    """
+    projections = max(8, math.ceil(math.log(max(2, n) / 0.06) / -math.log(_FAR)))
+    met = one_step(least) ** projections
+    return projections, fewest if met >= 1 else max(fewest, math.ceil(math.log1p(-recall) / math.log1p(-met)))
 
 
 class Projections:
@@ -78,9 +100,12 @@ def _bucketed(tables: int, projections: int, seed: int):
                 by_dim.setdefault(dim, Projections(dim, tables, projections, seed))
                 for a in range(0, part.num_rows, _ROWS):
                     some = part.slice(a, _ROWS)
-                    keys = by_dim[dim].keys(unit_vectors(some.column("vector")))
-                    rep = np.repeat(some.column("rep").to_numpy(), tables)
-                    yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), some.num_rows)), pa.array(rep)], ["key", "tbl", "rep"])
+                    unit = unit_vectors(some.column("vector"))
+                    for first in range(0, tables, _TABLES):
+                        tbl = np.arange(first, min(first + _TABLES, tables), dtype=np.int32)
+                        keys = by_dim[dim].keys(unit, first, first + _TABLES)
+                        rep = np.repeat(some.column("rep").to_numpy(), len(tbl))
+                        yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), pa.array(np.tile(tbl, some.num_rows)), pa.array(rep)], ["key", "tbl", "rep"])
 
     return run
 
@@ -99,6 +124,25 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _first_meeting(p: Projections, x: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether vectors i and j of each pair, which share a bucket in table t, share none in an earlier table."""
+    new, live = np.ones(len(i), bool), np.flatnonzero(t > 0)
+    for first in range(0, int(t.max(initial=0)), 8):
+        a, b, end = i[live], j[live], t[live]
+        asked = np.zeros(len(x), bool)
+        asked[a] = asked[b] = True
+        at = np.cumsum(asked) - 1
+        keys = p.keys(x[asked], first, first + 8)
+        tables = np.arange(first, first + keys.shape[1])
+        for k in range(0, len(live), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            new[live[some]] = ~((keys[at[a[some]]] == keys[at[b[some]]]) & (tables < end[some, None])).any(axis=1)
+        live = live[new[live] & (end > first + 8)]
+        if not len(live):
+            break
+    return new
+
+
 def _cell_links(tables: int, projections: int, seed: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, Projections] = {}
@@ -109,12 +153,27 @@ def _cell_links(tables: int, projections: int, seed: int, least: float):
             lengths = pc.list_value_length(vector).to_numpy()
             unit = unit_vectors(vector) if (lengths == lengths[0]).all() else None
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by dimension, linked rows of cells
+            pairs = 0
+
+            def settle(dim: int) -> None:
+                i, j = (np.concatenate(c) for c in zip(*waiting.pop(dim)))
+                rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                i, j = np.split(at, 2)
+                _, one, which = np.unique(rep[rows], return_index=True, return_inverse=True)  # a vector stands in several cells
+                x = unit[rows[one]] if unit is not None else unit_vectors(vector.take(pa.array(rows[one])))
+                by_dim.setdefault(dim, Projections(dim, tables, projections, seed))
+                new = _first_meeting(by_dim[dim], x, which[i], which[j], table[rows[i]])
+                n, own, times = len(rows), rep[rows], copies[rows]
+                links = np.bincount(i[new], times[j[new]], n) + np.bincount(j[new], times[i[new]], n)
+                root = own[_forest(i, j, n)]
+                touched = np.flatnonzero((links > 0) | (root != own))
+                out.append((own[touched], links[touched].astype(np.int64), root[touched]))
+
             for s, e in zip(begins[:-1], begins[1:]):
                 if e - s < 2:
                     continue
                 x = unit[s:e] if unit is not None else unit_vectors(vector.slice(s, e - s))
-                by_dim.setdefault(x.shape[1], Projections(x.shape[1], tables, projections, seed))
-                p = by_dim[x.shape[1]]
                 close = x @ x.T >= least
                 if same[s]:
                     close &= np.tri(e - s, k=-1, dtype=bool)
@@ -123,31 +182,27 @@ def _cell_links(tables: int, projections: int, seed: int, least: float):
                 i, j = np.nonzero(close)
                 if not len(i):
                     continue
-                new, t = np.ones(len(i), bool), int(table[s])
-                for first in range(0, t, 8):  # pairs that met in an earlier table were counted there
-                    keys = p.keys(x, first, min(t, first + 8))
-                    live = np.flatnonzero(new)
-                    for a in range(0, len(live), 1 << 16):
-                        some = live[a : a + (1 << 16)]
-                        new[some] = ~(keys[i[some]] == keys[j[some]]).any(axis=1)
-                    if not new.any():
-                        break
-                links = np.bincount(i[new], copies[s:e][j[new]], e - s) + np.bincount(j[new], copies[s:e][i[new]], e - s)
-                root = rep[s:e][_forest(i, j, e - s)]
-                touched = np.flatnonzero((links > 0) | (root != rep[s:e]))
-                out.append((rep[s:e][touched], links[touched].astype(np.int64), root[touched]))
+                waiting.setdefault(x.shape[1], []).append((s + i, s + j))
+                pairs += len(i)
+                if pairs > _PAIRS:
+                    pairs = 0
+                    for dim in list(waiting):
+                        settle(dim)
+            for dim in list(waiting):
+                settle(dim)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["rep", "links", "root"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 128, seed: int = 17) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 128, seed: int = 17, recall: float = 0.99) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors`` (vec_id, embedding).
 
     Two rows link when the cosine of their embeddings, in double precision, is ``least`` or more and they share a bucket
-    in any table: at 0.9 about 96 of 100 such pairs do, at 0.95 more than 99.99. The number of projections follows the
-    number of vectors, so that unrelated ones seldom meet. Equal embeddings always link. A vector that is null, empty or zero or
+    in any table: the chance is ``recall`` or more at ``least``, and more above it. The number of projections follows the
+    number of vectors, so that unrelated ones seldom meet, and the number of tables, ``tables`` or more, follows the
+    projections, so that the chance is held at every size. Equal embeddings always link. A vector that is null, empty or zero or
     holds a null or non-finite component links with nothing; vectors of different lengths never link. Rows that share a
     vec_id are vectors of their own, all with that id. component_id is the smallest vec_id that links reach, kept says
     that it is the row's own. Extra columns are ignored.
@@ -156,8 +211,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 128, seed
     valid = rows.where("usable").select("vec_id", F.col("embedding").alias("vector"))
     # copies of one vector meet before they are shuffled; xxhash64 names the class, the vector itself is compared
     classes = cut(valid.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
-    n = max(2, classes.count())
-    projections = max(8, int(np.ceil(np.log(n / 0.06) / -np.log(_FAR))))
+    projections, tables = shape(classes.count(), least, recall, tables)
     buckets = classes.select("rep", "vector").mapInArrow(_bucketed(tables, projections, seed), "key long, tbl int, rep long")
     several = buckets.withColumn("size", F.count("*").over(Window.partitionBy("key", "tbl"))).where("size > 1")
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")

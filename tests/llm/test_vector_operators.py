@@ -9,7 +9,7 @@ import pytest
 from modweave.llm.chat import Template, escape, format_chats, read_back, unescape
 from modweave.llm.components import components
 from modweave.llm.permutation_index import nearest
-from modweave.llm.pstable import near_vectors
+from modweave.llm.pstable import Projections, near_vectors, shape
 from modweave.llm.tokens import NAME, vocabulary_path
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key long, rep string"
@@ -56,6 +56,22 @@ def test_near_vectors(spark, table, rows):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 50_000, 1_000_000, 10_000_000])
+def test_recall_at_the_threshold_is_held_at_every_size(n):
+    """Pairs at cosine 0.9 against the projections and tables of a table of n vectors."""
+    projections, tables = shape(n, 0.9, 0.99, 128)
+    assert projections == max(8, math.ceil(math.log(n / 0.06) / -math.log(0.566))) and tables >= 128
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    p, met = Projections(64, tables, projections, 17), np.zeros(1000, bool)
+    for first in range(0, tables, 64):
+        met |= (p.keys(a, first, first + 64) == p.keys(b, first, first + 64)).any(axis=1)
+    assert met.mean() >= 0.98
+
+
 def test_nearest(spark, table, rows):
     got = {}
     for r in nearest(table, every=10, k=5, share=1.0).collect():
