@@ -101,6 +101,35 @@ def test_recall_with_its_own_parameters(spark):
     assert len(recall) == 90 and np.mean(recall) >= 0.9
 
 
+def recall(spark, x, **given):
+    """(query, share of its 20 nearest by score that nearest finds with its own parameters) of the rows of x."""
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in nearest(table, every=100, **given).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    out = []
+    for q, ids in sorted(found.items()):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        least = np.partition(s, -20)[-20]
+        assert len(set(ids)) == len(ids) == 20 and q not in ids
+        out.append((q, (s[ids] >= least - 1e-9 * abs(least)).mean()))
+    assert len(out) == -(-len(x) // 100)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("noise", [0, 0.03])
+def test_recall_where_a_third_are_copies_or_a_cluster(spark, noise):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2700] = x[0] + noise * rng.normal(size=(2700, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    query, found = recall(spark, x).T
+    assert found.mean() >= 0.9 and found[query >= 2700].mean() >= 0.9
+
+
 @pytest.mark.parametrize("n", [2, 40])
 def test_components_of_chains_and_stars(spark, n):
     links = [(i, i + 1) for i in range(n - 1)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5000, 5000), (None, 3)]
