@@ -8,7 +8,8 @@ Pivots are distinct vectors that lie apart, and copies of a vector count as one
 a tight cluster takes neither the pivots nor the places of what is reranked.
 
 Vectors may differ in norm: pivots are compared in a space with one more component, sqrt(largest norm**2 - norm**2),
-where the largest inner product and the nearest direction are the same.
+where the largest inner product and the nearest direction are the same. The product of the extra components is taken
+less what is equal for all pivots, so that one very long vector does not swallow the rest.
 """
 
 from __future__ import annotations
@@ -27,12 +28,6 @@ _BLOCK = 8192  # candidates of a block
 _QUERIES = 1024  # queries of a cell
 
 
-def _lifted(x: np.ndarray, largest: float) -> np.ndarray:
-    norms = (x * x).sum(axis=1)
-    rest = np.sqrt(np.maximum(largest * largest - norms, 0))
-    return np.concatenate([x, rest[:, None]], axis=1)
-
-
 def _apart(x: np.ndarray, n: int) -> np.ndarray:
     """``n`` of the vectors, farthest first by direction, from the first one on."""
     unit = x / np.abs(x).max(axis=1, keepdims=True)
@@ -66,11 +61,17 @@ def _members(which: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray,
 class Permutations:
     def __init__(self, pivots: np.ndarray, largest: float, prefix: int):
         self.pivots, self.largest, self.prefix = pivots, largest, min(prefix, len(pivots))
+        self.less = (pivots * pivots).sum(axis=1) / (largest + self._extra(pivots))  # largest - extra, without cancelling
+
+    def _extra(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.largest * self.largest - (x * x).sum(axis=1), 0))
 
     def nearest(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """The numbers of each vector's nearest pivots, nearest first, ties to the smaller number."""
-        y = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else _lifted(x, self.largest)
-        return np.argsort(-(y @ self.pivots.T), axis=1, kind="stable")[:, : self.prefix]
+        score = x @ self.pivots.T
+        if not query:  # x.p + extra(x) * extra(p), less extra(x) * largest
+            score -= self._extra(x)[:, None] * self.less
+        return np.argsort(-score, axis=1, kind="stable")[:, : self.prefix]
 
 
 class Block:
@@ -160,7 +161,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 128,
     hashed = valid.select(F.xxhash64("embedding").alias("hash"), "embedding")
     few = F.broadcast(hashed.select("hash").distinct().orderBy("hash").limit(sample))
     drawn = hashed.join(few, "hash").groupBy("hash").agg(F.min("embedding").alias("embedding")).orderBy("hash").collect()  # bounded
-    chosen = _lifted(_apart(np.array([r.embedding for r in drawn], np.float64), pivots), largest)
+    chosen = _apart(np.array([r.embedding for r in drawn], np.float64), pivots)
     index = spark.sparkContext.broadcast(Permutations(chosen, largest, prefix))
     n = shapes.n
     blocks = max(1, -(-n // _BLOCK))

@@ -130,6 +130,13 @@ def test_recall_where_a_third_are_copies_or_a_cluster(spark, noise):
     assert found.mean() >= 0.9 and found[query >= 2700].mean() >= 0.9
 
 
+def test_recall_beside_a_vector_of_huge_norm(spark):
+    x = np.random.default_rng(9).normal(size=(8100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5] *= 1e30
+    assert recall(spark, x)[:, 1].mean() >= 0.9
+
+
 @pytest.mark.parametrize("n", [2, 40])
 def test_components_of_chains_and_stars(spark, n):
     links = [(i, i + 1) for i in range(n - 1)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5000, 5000), (None, 3)]
