@@ -153,7 +153,7 @@ class Analysis:
             "totalExcess": total.t or 0,
             "worstExcess": total.w or 0,
             "cycles": len(out["cycles"]),
-            "deadExports": len(out["deadExports"]),
+            "deadExports": len(out["deadExports"]) if top is None else self.dead_exports().count(),
             "unresolved": len(out.get("unresolved", [])),
             "failures": len(out.get("failures", [])),
         }
@@ -166,7 +166,7 @@ class Analysis:
             return render.to_terminal(self.report())
         nodes, edges = self.nodes(most if format == "html" else None)
         if format == "html":
-            return render.to_html(self.report(top=most), nodes, edges)
+            return render.to_html(self.report(), nodes, edges)  # ``most`` bounds the drawing alone
         return {"dot": render.to_dot, "mermaid": render.to_mermaid}[format](nodes, edges)
 
 

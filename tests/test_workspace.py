@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from modweave.api import Analysis
@@ -28,6 +30,15 @@ def test_pure_barrel(spark):
         assert a.render(f)
 
 
+def test_html_draws_few_nodes_but_tells_all(spark):
+    more = {p.replace("src/", "more/"): t for p, t in PURE.items() if p.startswith("src/")}
+    a = Analysis.from_workspace(Workspace.from_files(spark, PURE | more, Config(entrypoints=["src/main.ts", "more/main.ts"])))
+    data = json.loads(a.render("html", most=2).split('id="data">')[1].split("</script>")[0])
+    assert [n["label"] for n in data["nodes"]] == ["more", "src"]
+    assert {b["barrel"] for b in data["barrels"]} == {"src/lib/index.ts", "more/lib/index.ts"}
+    assert data["summary"]["deadExports"] == a.dead_exports().count() == 8
+
+
 def test_plan_is_applied_and_stable(spark, tmp_path):
     for p, t in PURE.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
