@@ -96,15 +96,32 @@ def joined_path(importer: str = "importer", specifier: str = "specifier"):
     return paths.normalize(F.concat(F.when(directory == ".", F.lit("")).otherwise(F.concat(directory, F.lit("/"))), F.col(specifier)))
 
 
-def alias_bases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``requests`` (importer, specifier) with ``base`` by the alias rules (pattern, target; one ``*`` in each, or none), the rule with the longest prefix."""
-    rules = aliases.select(F.substring_index("pattern", "*", 1).alias("pre"), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).alias("post"), "target")
+def alias_targets(requests: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``requests`` (importer, specifier) with (nth, base): all targets of the alias rule that fits with the longest prefix.
+
+    Rules are (pattern, target; one ``*`` in each, or none) with nth, the target's place in its pattern, if there are several.
+    """
+    nth = F.col("nth") if "nth" in aliases.columns else F.lit(0)
+    rules = aliases.select(F.substring_index("pattern", "*", 1).alias("pre"), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).alias("post"), "target", nth.alias("nth"))
     # a handful of rules per package, from its configuration
     fits = F.when(F.col("post").isNull(), F.col("specifier") == F.col("pre")).otherwise(F.startswith("specifier", F.col("pre")) & F.endswith("specifier", F.col("post")) & (F.length("specifier") >= F.length("pre") + F.length("post")))
     middle = F.expr("substring(specifier, length(pre) + 1, length(specifier) - length(pre) - length(coalesce(post, '')))")
-    base = F.when(F.col("post").isNull(), F.col("target")).otherwise(F.concat(F.substring_index("target", "*", 1), middle, F.substring_index("target", "*", -1)))
-    found = requests.join(rules, fits).withColumn("base", base)
-    return found.groupBy("importer", "specifier").agg(F.max_by("base", F.length("pre")).alias("base"))
+    base = F.when(F.col("post").isNull(), F.col("target")).otherwise(F.concat(F.substring_index("target", "*", 1), F.when(F.contains("target", F.lit("*")), F.concat(middle, F.substring_index("target", "*", -1))).otherwise("")))
+    rank = F.struct(F.length("pre").alias("pre"), F.col("post").isNull().alias("exact"), F.coalesce(F.length("post"), F.lit(0)).alias("post"))
+    found = requests.join(rules, fits).withColumn("base", base).withColumn("rank", rank)
+    best = found.groupBy("importer", "specifier").agg(F.max("rank").alias("most"), F.collect_set(F.struct("rank", "nth", "base")).alias("all"))
+    return best.select("importer", "specifier", F.explode(F.filter("all", lambda x: x["rank"] == F.col("most"))).alias("x")).select("importer", "specifier", "x.nth", "x.base")
+
+
+def alias_bases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``requests`` (importer, specifier) with ``base``, the first target of the alias rule with the longest prefix."""
+    return alias_targets(requests, aliases).groupBy("importer", "specifier").agg(F.min_by("base", F.struct("nth", "base")).alias("base"))
+
+
+def alias_files(requests: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
+    """(importer, specifier, path): the file of the first alias target that has one."""
+    hit = probe(alias_targets(requests, aliases), files).where("path is not null")
+    return hit.groupBy("importer", "specifier").agg(F.min_by("path", F.struct("nth", "path")).alias("path"))
 
 
 def package_name(path: str = "path"):
@@ -130,8 +147,7 @@ def resolve(requests: DataFrame, files: DataFrame, aliases: DataFrame | None = N
     hit = probe(relative, files).select("importer", "specifier", "path")
     bare = requests.where("not builtin and not specifier rlike '^[.]{1,2}(/|$)'")
     if aliases is not None:
-        mapped = probe(alias_bases(bare, aliases), files).where("path is not null").select("importer", "specifier", "path")
-        hit = hit.unionByName(mapped)
+        hit = hit.unionByName(alias_files(bare, aliases, files))
     installed = files.where(F.contains("path", F.lit("node_modules/"))).select(package_name().alias("package")).distinct()
     name = F.regexp_extract("specifier", "^((?:@[^/]+/)?[^/]+)", 1)
     rest = bare.join(hit.select("importer", "specifier"), ["importer", "specifier"], "left_anti").withColumn("package", name)

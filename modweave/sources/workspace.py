@@ -186,7 +186,7 @@ class Workspace:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        """(root, pattern, target) of each package's nearest tsconfig: paths below baseUrl."""
+        """(root, pattern, target, nth) of each package's nearest tsconfig: paths below baseUrl, all targets of a pattern in order."""
         rows = self.packages.where("tsconfig is not null").select("root", F.col("tsconfig").alias("path")).join(self.files, "path").select("root", "path", F.decode("content", "utf-8").alias("text"))
 
         def rules(batches):
@@ -197,12 +197,13 @@ class Workspace:
                     here = path.rpartition("/")[0]
                     base = "/".join(p for p in (here, (options.get("baseUrl") or ".")) if p)
                     for pattern, targets in (options.get("paths") or {}).items():
-                        out += [(root, pattern, f"{base}/{t}") for t in targets[:1]]
+                        out += [(root, pattern, f"{base}/{t}", k) for k, t in enumerate(targets)]
                     if "baseUrl" in options:
-                        out.append((root, "*", f"{base}/*"))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["root", "pattern", "target"])
+                        out.append((root, "*", f"{base}/*", 1 << 20))  # after the targets that paths gives to "*"
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["root", "pattern", "target", "nth"])
 
-        found = rows.mapInArrow(rules, "root string, pattern string, target string")
+        found = rows.mapInArrow(rules, "root string, pattern string, target string, nth int")
         return found.withColumn("target", paths.normalize("target"))
 
     @cached_property
@@ -212,11 +213,10 @@ class Workspace:
         asked = self.specifiers.join(owned, "importer")
         rules = cut(self.aliases)
         mapped = asked.where("not specifier rlike '^[.]{1,2}(/|$)'").join(rules, "root")
-        based = resolution.alias_bases(mapped.select("importer", "specifier").distinct(), rules.select("pattern", "target").distinct()) if rules.limit(1).count() else None
         plain = resolution.resolve(self.specifiers, self.everything.select("path"))
-        if based is None:
+        if not rules.limit(1).count():
             return cut(plain)
-        hit = resolution.probe(based, self.everything.select("path")).where("path is not null").select("importer", "specifier", F.col("path").alias("mapped"))
+        hit = resolution.alias_files(mapped.select("importer", "specifier").distinct(), rules.select("pattern", "target", "nth").distinct(), self.everything.select("path")).withColumnRenamed("path", "mapped")
         lost = (F.col("kind") == "unresolved") & F.col("mapped").isNotNull()
         out = plain.join(hit, ["importer", "specifier"], "left").withColumn("kind", F.when(lost, "internal").otherwise(F.col("kind"))).withColumn("path", F.coalesce("path", F.when(lost | (F.col("kind") == "internal"), F.col("mapped"))))
         return cut(out.drop("mapped"))

@@ -73,6 +73,22 @@ def test_resolution_kinds(spark):
     assert [r.specifier for r in w.unresolved.collect()] == ["./gone", "zed"]
 
 
+def test_alias_with_several_targets(spark):
+    w = Workspace.from_files(
+        spark,
+        {
+            "a.ts": "import x from '@/x'; import y from '@/y'; import z from '@/z';",
+            "gen/x.ts": "export default 1",
+            "src/x.ts": "export default 1",
+            "src/y.ts": "export default 1",
+            "old/z.ts": "export default 1",
+            "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["gen/*", "src/*", "old/*"]}}}',
+        },
+    )
+    assert {r.specifier: (r.kind, r.path) for r in w.resolutions.collect()} == {"@/x": ("internal", "gen/x.ts"), "@/y": ("internal", "src/y.ts"), "@/z": ("internal", "old/z.ts")}
+    assert sorted((r.nth, r.target) for r in w.aliases.collect()) == [(0, "gen/*"), (1, "src/*"), (2, "old/*")]
+
+
 def test_packages_and_kind(spark):
     w = Workspace.from_files(
         spark,
