@@ -100,15 +100,17 @@ def alias_targets(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     """``requests`` (importer, specifier) with (nth, base): all targets of the alias rule that fits with the longest prefix.
 
     Rules are (pattern, target; one ``*`` in each, or none) with nth, the target's place in its pattern, if there are several.
+    Where requests and rules have a root, a rule holds for the requests of its own root.
     """
+    own = ["root"] if "root" in requests.columns and "root" in aliases.columns else []
     nth = F.col("nth") if "nth" in aliases.columns else F.lit(0)
-    rules = aliases.select(F.substring_index("pattern", "*", 1).alias("pre"), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).alias("post"), "target", nth.alias("nth"))
+    rules = aliases.select(*[F.col(c).alias("__of") for c in own], F.substring_index("pattern", "*", 1).alias("pre"), F.when(F.contains("pattern", F.lit("*")), F.substring_index("pattern", "*", -1)).alias("post"), "target", nth.alias("nth"))
     # a handful of rules per package, from its configuration
     fits = F.when(F.col("post").isNull(), F.col("specifier") == F.col("pre")).otherwise(F.startswith("specifier", F.col("pre")) & F.endswith("specifier", F.col("post")) & (F.length("specifier") >= F.length("pre") + F.length("post")))
     middle = F.expr("substring(specifier, length(pre) + 1, length(specifier) - length(pre) - length(coalesce(post, '')))")
     base = F.when(F.col("post").isNull(), F.col("target")).otherwise(F.concat(F.substring_index("target", "*", 1), F.when(F.contains("target", F.lit("*")), F.concat(middle, F.substring_index("target", "*", -1))).otherwise("")))
     rank = F.struct(F.length("pre").alias("pre"), F.col("post").isNull().alias("exact"), F.coalesce(F.length("post"), F.lit(0)).alias("post"))
-    found = requests.join(rules, fits).withColumn("base", base).withColumn("rank", rank)
+    found = requests.join(rules, fits & (F.col("root") == F.col("__of")) if own else fits).withColumn("base", base).withColumn("rank", rank)
     best = found.groupBy("importer", "specifier").agg(F.max("rank").alias("most"), F.collect_set(F.struct("rank", "nth", "base")).alias("all"))
     return best.select("importer", "specifier", F.explode(F.filter("all", lambda x: x["rank"] == F.col("most"))).alias("x")).select("importer", "specifier", "x.nth", "x.base")
 

@@ -212,11 +212,11 @@ class Workspace:
         owned = resolution.owning_package(self.facts.select("path"), self.packages).select(F.col("path").alias("importer"), F.col("root"))
         asked = self.specifiers.join(owned, "importer")
         rules = cut(self.aliases)
-        mapped = asked.where("not specifier rlike '^[.]{1,2}(/|$)'").join(rules, "root")
+        bare = asked.where("not specifier rlike '^[.]{1,2}(/|$)'")
         plain = resolution.resolve(self.specifiers, self.everything.select("path"))
         if not rules.limit(1).count():
             return cut(plain)
-        hit = resolution.alias_files(mapped.select("importer", "specifier").distinct(), rules.select("pattern", "target", "nth").distinct(), self.everything.select("path")).withColumnRenamed("path", "mapped")
+        hit = resolution.alias_files(bare, rules, self.everything.select("path")).withColumnRenamed("path", "mapped")
         lost = (F.col("kind") == "unresolved") & F.col("mapped").isNotNull()
         out = plain.join(hit, ["importer", "specifier"], "left").withColumn("kind", F.when(lost, "internal").otherwise(F.col("kind"))).withColumn("path", F.coalesce("path", F.when(lost | (F.col("kind") == "internal"), F.col("mapped"))))
         return cut(out.drop("mapped"))

@@ -89,6 +89,18 @@ def test_alias_with_several_targets(spark):
     assert sorted((r.nth, r.target) for r in w.aliases.collect()) == [(0, "gen/*"), (1, "src/*"), (2, "old/*")]
 
 
+def test_alias_rules_hold_for_their_own_package(spark):
+    one = lambda p: {f"{p}/package.json": "{}", f"{p}/a.ts": "import x from '@/x'; import o from '@/only';", f"{p}/src/x.ts": "export default 1", f"{p}/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}'}
+    w = Workspace.from_files(spark, {"package.json": "{}", **one("p"), **one("q"), "q/src/only.ts": "export default 1"})
+    found = {(r.importer, r.specifier): (r.kind, r.path) for r in w.resolutions.collect()}
+    assert found == {
+        ("p/a.ts", "@/x"): ("internal", "p/src/x.ts"),
+        ("p/a.ts", "@/only"): ("unresolved", None),
+        ("q/a.ts", "@/x"): ("internal", "q/src/x.ts"),
+        ("q/a.ts", "@/only"): ("internal", "q/src/only.ts"),
+    }
+
+
 def test_packages_and_kind(spark):
     w = Workspace.from_files(
         spark,
