@@ -24,7 +24,7 @@ _PARTNERS = 24  # patterns of three lengths that are tried for each first length
 
 
 def patterns(histogram: np.ndarray, size: int) -> np.ndarray:
-    """Triples (a, b, c) of lengths that occur, a >= b >= c, 0 for none, with a + b + c = size, then near misses."""
+    """Triples (a, b, c) of lengths that occur, a >= b >= c, 0 for none, with a + b + c = size."""
     here = np.flatnonzero(histogram)
     found = [(size, 0, 0)] if histogram[size] else []
     found += [(a, size - a, 0) for a in here if 2 * a >= size > a and histogram[size - a]]
