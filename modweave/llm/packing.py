@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modweave.llm.runtime import cut
-from modweave.llm.tokens import NAME, Encoder, vocabulary_path
+from modweave.llm.runtime import chunks, cut, text_bytes
+from modweave.llm.tokens import _CHUNK_BYTES, NAME, Encoder, vocabulary_path
 
 _PARTNERS = 24  # patterns of three lengths that are tried for each first length
 
@@ -114,31 +114,36 @@ def plan(histogram: np.ndarray, size: int) -> tuple[list[np.ndarray], int]:
     return [np.array(r, np.int64).reshape(-1, 4) for r in runs], sequences
 
 
-def _pieces(size: int, end_id: int, json_path: str, ranks_path: str):
+def _pieces(size: int, end_id: int, json_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(json_path, ranks_path), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder(json_path), int(end_id).to_bytes(4, "little")
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = encoder.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                cuts = [0, *range(n % size or size, n + 1, size)]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    row.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            length = np.array(length, np.int64)
-            order = np.argsort(length, kind="stable")
-            sorted_ = length[order]
-            begin = np.searchsorted(sorted_, sorted_)
-            rank = np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - begin + seen[sorted_]
-            seen += np.bincount(length, minlength=size + 1)
+            data, offsets = text_bytes(batch.column("text"))
             rest = [c for c in batch.schema.names if c != "text"]
-            columns = [batch.column(c).take(pa.array(row, pa.int64())) for c in rest]
-            values = [pa.array(np.array(piece, np.int32)), pa.array(np.array(start, np.int64)), pa.array(length), pa.array(np.array(crc, np.int64)), pa.array(np.full(len(length), task, np.int32)), pa.array(rank)]
-            yield pa.RecordBatch.from_arrays([*columns, *values], [*rest, "piece", "start", "length", "ids_crc32", "task", "nth"])
+            for a, b in chunks(offsets, _CHUNK_BYTES):
+                ids, bounds = encoder.ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total = np.diff(bounds) + 1  # with the end id
+                first = (total - 1) % size + 1
+                n = (total - first) // size + 1
+                row = np.repeat(np.arange(len(total)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * size)
+                length = np.where(piece == 0, first[row], size)
+                raw, at = memoryview(ids.view(np.uint8)), bounds[:-1][row] + start
+                last = piece == n[row] - 1
+                crc = np.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at.tolist(), (at + length - last).tolist())], np.int64)
+                crc[last] = [zlib.crc32(end, int(c)) for c in crc[last]]
+                order = np.argsort(length, kind="stable")
+                sorted_ = length[order]
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(length)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
+                seen += np.bincount(length, minlength=size + 1)
+                columns = [batch.column(c).take(pa.array(a + row)) for c in rest]
+                values = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(length), task, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays([*columns, *values], [*rest, "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     return run
 
@@ -159,7 +164,7 @@ def _placed(runs):
     return run
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, json_path: str | None = None) -> DataFrame:
     """One row per piece of each text: the id columns of ``docs`` (all but text) with piece, start, length, ids_crc32, sequence_id and offset.
 
     A document is its text's ids and ``end_id``. Longer ones than ``size`` are cut into pieces of ``size``, the first of
@@ -170,7 +175,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, json_path: str | No
     names = ("piece", "start", "length", "ids_crc32", "task", "nth", "rank", "sequence_id", "offset")
     docs = docs.drop(*names)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    run = _pieces(size, end_id, json_path or vocabulary_path(NAME, ".json"), ranks_path or vocabulary_path(NAME, ".tiktoken"))
+    run = _pieces(size, end_id, json_path or vocabulary_path(NAME, ".json"))
     pieces = cut(docs.mapInArrow(run, f"{kinds}piece int, start long, length long, ids_crc32 long, task int, nth long"))
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     # at most one row per task and length, of which a window holds one length

@@ -1,19 +1,15 @@
 """Token ids and token counts of whole texts with a public tokenizer, inside Arrow functions.
 
-The ids are those that the tokenizers library gives for ``byte_bpe_50k.json`` with its defaults: a special string in a
-text is its special token. Texts of printable Latin and common punctuation take the same vocabulary through tiktoken,
-which yields the same ids several times faster; texts with any other character go to the tokenizers library itself.
-
-Long texts are split before white space that follows something else. No pre-token of the byte-level pattern reaches
-over such a place and no pattern looks behind, so the parts' ids, one after another, are the text's ids.
+Texts are split at safe boundaries into pieces that encode alone as they do in their text, long texts as well as short
+ones. Pieces recur, so each distinct piece of a chunk of texts is encoded once, in batches of about equal bytes, by the
+tokenizers library with its defaults: a special string in a text is its special token. A text's count is the sum over
+its pieces; ids are put together only where a caller asks for ids.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modweave.llm.runtime import text_bytes
+from modweave.llm.runtime import chunks, text_bytes
 
 NAME = "byte_bpe_50k"
 _BATCH_BYTES = 256 << 10
-_SPLIT_BYTES = 64 << 10
-# White space and characters on which both libraries' patterns agree, checked one by one in tests.
-_SAFE = re.compile("[\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞₠-€]*")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \n\t])")
+_CHUNK_BYTES = 16 << 20  # texts whose pieces are made distinct together
+
+# Kinds of bytes: 1 letter, 2 digit, 3 other visible ASCII, 4 white space that may begin a piece, 0 no boundary here
+_KIND = np.zeros(256, np.uint8)
+for _c in range(33, 127):
+    _KIND[_c] = 1 if chr(_c).isalpha() else 2 if chr(_c).isdigit() else 3
+_KIND[[9, 10, 32]] = 4
+_APOSTROPHE, _OTHER = 5, 6  # an apostrophe may begin what follows it; other bytes end before white space at most
+_KIND[39] = _APOSTROPHE
+_KIND[128:] = _OTHER
+_EDGE = np.zeros((8, 8), bool)
+_EDGE[1:4, 1:4] = ~np.eye(3, dtype=bool)
+_EDGE[[1, 2, 3, 5, 6], 4] = True
 
 
 def vocabulary_path(name: str, suffix: str) -> str:
@@ -46,85 +51,90 @@ def library(json_path: str):
     return Tokenizer.from_file(json_path)
 
 
-@functools.lru_cache(maxsize=2)
-def fast(json_path: str, ranks_path: str):
-    import public_tokenizers
-    import tiktoken
-
-    special = {t.content: i for i, t in library(json_path).get_added_tokens_decoder().items() if t.special}
-    with open(ranks_path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding(NAME, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
+def pieces(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where the pieces of the texts begin.
 
-def parts(text: str, limit: int = _SPLIT_BYTES) -> Iterator[str]:
-    """``text`` in pieces of about ``limit`` characters that can be encoded one by one."""
-    at = 0
-    while len(text) - at > limit:
-        place = _BEFORE_SPACE.search(text, at + limit)
-        if place is None:
-            break
-        yield text[at : place.start()]
-        at = place.start()
-    yield text[at:] if at else text
-
-
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit values."""
-
-    def __init__(self, json_path: str, ranks_path: str):
-        self.slow, quick = library(json_path), fast(json_path, ranks_path)
-        self.quick, self.special = quick._core_bpe, quick.special_tokens_set
-
-    def ids(self, text: str) -> bytes:
-        if len(text) <= _SPLIT_BYTES:
-            return self._ids(text)
-        return b"".join(map(self._ids, parts(text)))
-
-    def _ids(self, text: str) -> bytes:
-        if _SAFE.fullmatch(text):
-            return bytes(self.quick.encode_to_tiktoken_buffer(text, self.special))
-        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """The number of ids of each text; those for the tokenizers library are encoded as one batch."""
-        out, rest = [0] * len(texts), []
-        for i, text in enumerate(texts):
-            for part in parts(text):
-                if _SAFE.fullmatch(part):
-                    out[i] += memoryview(self.quick.encode_to_tiktoken_buffer(part, self.special)).nbytes // 4
-                else:
-                    rest.append((i, part))
-        for (i, _), found in zip(rest, self.slow.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else []):
-            out[i] += len(found)
-        return out
-
-
-def by_bytes(offsets: np.ndarray, limit: int = _BATCH_BYTES) -> Iterator[np.ndarray]:
-    """Rows in batches of about equal bytes, texts of like length together, so that no batch waits for one long text."""
-    size = np.diff(offsets)
+    The vocabulary's pattern takes runs of letters, of digits and of other characters, each with one space before it, and
+    runs of white space. So no token reaches over the end of such a run where the next one begins without an apostrophe,
+    nor over the place before white space that follows something else. A special string is left whole.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for two signs
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = 1
+    mark = np.zeros(n + 1, bool)
+    mark[1:n] = _EDGE.ravel()[(kind[:-1] << 3) | kind[1:]]
+    # white space beyond ASCII ends in bytes like those of letters: C2 85, C2 A0, E1 9A 80, E2 80 80 to E2 81 9F, E3 80 80
+    at = np.flatnonzero(mark[1:n] & (kind[:-1] == _OTHER)) + 1
+    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    mark[at[(two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & np.isin(two, (0x80, 0x81, 0x9A)))]] = False
+    raw = data.tobytes()
+    for word in special:
+        found = raw.find(word)
+        while found >= 0:
+            mark[found + 1 : found + len(word)] = False
+            found = raw.find(word, found + 1)
+    mark[offsets] = True
+    return np.flatnonzero(mark[:n])
+
+
+def by_bytes(size: np.ndarray, limit: int = _BATCH_BYTES) -> Iterator[np.ndarray]:
+    """Numbers of texts in batches of about equal bytes, texts of like length together, so that no batch waits for one long text."""
     order = np.argsort(size, kind="stable")
-    total = np.cumsum(size[order])
-    cuts = np.flatnonzero(np.diff(total // limit)) + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // limit)) + 1
     yield from np.split(order, cuts)
 
 
-def _counts(json_path: str, ranks_path: str):
+class Encoder:
+    """Counts and ids of texts that stand one after another in UTF-8."""
+
+    def __init__(self, json_path: str):
+        self.library = library(json_path)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+
+    def _distinct(self, data: np.ndarray, offsets: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, list]:
+        """For each text where its pieces begin and end among all, for each piece the number of its like, and ``keep`` of the encoding of each like."""
+        begin = pieces(data, offsets, self.special)
+        ends = pa.py_buffer(np.append(begin, len(data)).astype("<i8"))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        texts = found.dictionary.cast(pa.large_string())
+        out: list = [None] * len(texts)
+        for rows in by_bytes(np.diff(text_bytes(texts)[1])):
+            for i, e in zip(rows, self.library.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)):
+                out[i] = keep(e)
+        return np.searchsorted(begin, offsets), found.indices.to_numpy(), out
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The number of ids of each text."""
+        bounds, which, lengths = self._distinct(data, offsets, len)
+        return np.diff(np.append(0, np.cumsum(np.array(lengths, np.int64)[which]))[bounds])
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the texts' bounds among them."""
+        bounds, which, ids = self._distinct(data, offsets, lambda e: np.array(e.ids, "<u4"))
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([*ids, np.zeros(0, "<u4")])
+        begin, size = (np.cumsum(length) - length)[which], length[which]
+        ends = np.append(0, np.cumsum(size))
+        at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+        return flat[at], ends[bounds]
+
+
+def _counts(json_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(json_path, ranks_path)
+        encoder = Encoder(json_path)
         for batch in batches:
-            texts = batch.column("text")
-            _, offsets = text_bytes(texts)
-            found = np.zeros(len(texts), np.int64)
-            for rows in by_bytes(offsets):
-                found[rows] = encoder.counts([t or "" for t in texts.take(pa.array(rows)).to_pylist()])
+            data, offsets = text_bytes(batch.column("text"))
             rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.diff(offsets)), pa.array(found)], [*rest, "n_bytes", "n_tokens"])
+            for a, b in chunks(offsets, _CHUNK_BYTES):
+                found = encoder.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in rest), pa.array(np.diff(offsets[a : b + 1])), pa.array(found)], [*rest, "n_bytes", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, limit: int = 512, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, limit: int = 512, json_path: str | None = None) -> DataFrame:
     """``docs`` without text and with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``).
 
     Ids never leave the Arrow function. A null text counts as empty: 0 bytes, 0 tokens. Every row is judged by itself,
@@ -132,5 +142,5 @@ def token_counts(docs: DataFrame, limit: int = 512, json_path: str | None = None
     """
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    run = _counts(json_path or vocabulary_path(NAME, ".json"), ranks_path or vocabulary_path(NAME, ".tiktoken"))
+    run = _counts(json_path or vocabulary_path(NAME, ".json"))
     return docs.mapInArrow(run, f"{kinds}n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

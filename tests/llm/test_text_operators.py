@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from modweave.llm.language import UNKNOWN, codewords, languages
 from modweave.llm.mixing import mix, targets
 from modweave.llm.packing import pack, plan
 from modweave.llm.quality import quality
+from modweave.llm.runtime import text_bytes
 from modweave.llm.substring_dedup import substring_dedup
-from modweave.llm.tokens import _SAFE, NAME, Encoder, library, parts, token_counts, vocabulary_path
+from modweave.llm.tokens import NAME, Encoder, library, pieces, token_counts, vocabulary_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, bucket string, __x int"
@@ -116,21 +118,29 @@ def test_token_counts(docs, none, rows):
     assert token_counts(none).count() == 0
 
 
-def test_safe_characters_encode_alike():
-    encoder = Encoder(vocabulary_path(NAME, ".json"), vocabulary_path(NAME, ".tiktoken"))
-    safe = [chr(c) for c in range(0x3000) if _SAFE.fullmatch(chr(c))]
-    assert len(safe) > 500
-    texts = [f"a{c}b {c} {c}{c}1{c}\n{c}  {c}'s" for c in safe] + ["x <|endoftext|> y", "<|endoftext|>", "a b", "日本語 text", "tab\u0085x"]
-    for t in texts:
-        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == encoder.slow.encode(t, add_special_tokens=False).ids, repr(t)
-
-
-def test_split_texts_encode_alike():
-    encoder = Encoder(vocabulary_path(NAME, ".json"), vocabulary_path(NAME, ".tiktoken"))
-    text = "word  two\n\n three,four 'll don't 12 34\t" * 60
-    for limit in (7, 50, 333):
-        assert "".join(parts(text, limit)) == text
-        assert [i for p in parts(text, limit) for i in encoder.slow.encode(p, add_special_tokens=False).ids] == encoder.slow.encode(text, add_special_tokens=False).ids
+def split(encoder, texts):
+    """Each text's pieces, and its ids put together from them."""
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    begin = pieces(data, offsets, encoder.special)
+    ids, bounds = encoder.ids(data, offsets)
+    assert encoder.counts(data, offsets).tolist() == np.diff(bounds).tolist()
+    cuts = np.searchsorted(begin, offsets)
+    parts = [[data[s:e].tobytes().decode() for s, e in zip(begin[a:b], [*begin[a + 1 : b], end])] for a, b, end in zip(cuts[:-1], cuts[1:], offsets[1:])]
+    return parts, [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def test_pieces_encode_as_their_text_does():
+    encoder = Encoder(vocabulary_path(NAME, ".json"))
+    rng = np.random.default_rng(3)
+    every = [chr(c) for c in range(1, 0x3100)] + ["\U0001f600", "\ufeff"]
+    texts = [f"a{c}b {c} {c}{c}1{c}\n{c}  {c}'s,{c} é{c}" for c in every]
+    letters = [*"aZé9.,'\"×÷ \n\t\r\u00a0\u2003\u3000\u0085ß日—", "<|endoftext|>", "'s", "'ll", "<|", "|>", " 'd"]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(20000)]
+    texts += ["", "x <|endoftext|> y", "<|endoftext|>", "word  two\n\n three,four 'll don't 12 34\t" * 60, "x" * 3000]
+    parts, ids = split(encoder, texts)
+    assert ["".join(p) for p in parts] == texts
+    assert ids == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert split(encoder, ["one, two 34x"])[0] == [["one", ",", " two", " 34", "x"]]
 
 
 def test_packing(docs, none, rows):
