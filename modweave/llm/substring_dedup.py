@@ -2,15 +2,17 @@
 
 A window is ``window`` consecutive words. Windows repeated at one length alone are extended to twice that length:
 level by level, from ``base`` words up to ``window``, a window survives if the sub-window that stands for it at that
-length occurs at least twice in the corpus, and only survivors are looked at on the next level. The stand-in is the
-sub-window with the smallest hash (a minimiser), which equal windows have in common; neighbouring windows mostly share
-it, so a level shuffles about 2 / (window - length + 2) of all positions. What a level found goes to the next as a
-bitmap of bounded size: if that fills up, more windows survive, which costs time and changes no result.
+length occurs at least twice in the corpus, and only survivors are looked at on the next level; where none survive, the
+search ends. The stand-in is the sub-window with the smallest hash (a minimiser), which equal windows have in common;
+neighbouring windows mostly share it, so a level shuffles about 2 / (window - length + 2) of all positions. What a level
+found goes to the next as a bitmap of bounded size: if that fills up, more windows survive, which costs time and changes
+no result.
 
 At full length, neighbouring survivors with one stand-in travel together to the partition of that stand-in, sorted by
 document and place, with a 64-bit hash each: whatever came before with the same stand-in and hash is an earlier copy,
 so one pass over the stream finds the first of each. What a task already knows to be a later copy is marked before the
-shuffle and needs no hash, so copies of one text weigh little there.
+shuffle and needs no hash, so copies of one text weigh little there. The windows around a stand-in that is very frequent
+travel one by one instead, each to the partition of its own hash.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ _SPACES, _WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 
 
 _RUN = 32  # windows that one row stands for, at most
+_FREQUENT = 1 << 14  # occurrences of a stand-in beyond which its windows are dealt by their own hashes
 _NO_ID = -(1 << 63)  # how a null doc_id counts in the order
 
 
@@ -67,15 +70,16 @@ def _stand_ins(base: int, window: int, known: list):
                 if len(words.start) >= window:
                     h = _Levels(words, base, window, [x.value for x in known]).stand_ins()
                     h, n = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([as_long(h), pa.array(n > 1)], ["h", "twice"])
+                    yield pa.RecordBatch.from_arrays([as_long(h), pa.array(n)], ["h", "n"])
 
     return run
 
 
-def _runs(base: int, window: int, known: list):
+def _runs(base: int, window: int, known: list, frequent):
     """Rows (slot, doc, tag, start, later, hashes): surviving windows that begin at start, start + 1, ... and have one stand-in.
 
     Bit k of later says that the k-th is known to be a later copy; if all are, there are no hashes and the slot is any.
+    A window whose stand-in is ``frequent`` has a row of its own and a slot by its own hash as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,9 @@ def _runs(base: int, window: int, known: list):
                 row = words.owner()[at]
                 doc, start, h = docs[a:b][row], at - words.bounds[row], levels.hash[at]
                 later = _later(h, doc, start)
-                new = np.append(True, (at[1:] != at[:-1] + 1) | (stand_in[1:] != stand_in[:-1]) | (row[1:] != row[:-1]))
+                often = in_bitmap(frequent.value, stand_in)
+                stand_in = np.where(often, mix(h ^ mix(stand_in, 47), 48), stand_in)
+                new = np.append(True, (at[1:] != at[:-1] + 1) | (stand_in[1:] != stand_in[:-1]) | (row[1:] != row[:-1]) | often[1:])
                 begin = np.flatnonzero(new)
                 nth = np.arange(len(at)) - begin[np.cumsum(new) - 1]
                 new |= nth % _RUN == 0
@@ -201,7 +207,7 @@ def _joined(words: Words, keep: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return texts.cast(pa.string()), words.counts - counts
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, base: int = 5) -> DataFrame:
     """``(doc, tag, runs)``: for each text the windows whose word sequence also starts earlier, in a smaller doc_id or the
     same one, as runs (start, later): bit k of later is the window at start + k. ``tag`` tells texts that share a doc_id
     apart; a null doc_id counts as the smallest number."""
@@ -212,12 +218,18 @@ def repeated_windows(docs: DataFrame, window: int = 20, base: int = 10) -> DataF
     known: list = []
     length = base
     while length < window:
-        seen = docs.select("text").mapInArrow(_stand_ins(base, window, list(known)), "h long, twice boolean")
-        again = seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
-        known.append(spark.sparkContext.broadcast(bitmap_of(F.col("h"), again)))
+        seen = docs.select("text").mapInArrow(_stand_ins(base, window, list(known)), "h long, n long")
+        again = seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+        if 2 * length == window:
+            again = cut(again)
+        alive = bitmap_of(F.col("h"), again)
         length *= 2
         tidy(spark)
-    rows = docs.mapInArrow(_runs(base, window, known), "slot long, doc long, tag long, start int, later long, hashes array<long>")
+        if not alive.any():
+            return spark.createDataFrame([], "doc long, tag long, runs array<struct<start: int, later: long>>")
+        known.append(spark.sparkContext.broadcast(alive))
+    frequent = spark.sparkContext.broadcast(bitmap_of(F.col("h"), again.where(F.col("n") > _FREQUENT)))
+    rows = docs.mapInArrow(_runs(base, window, known, frequent), "slot long, doc long, tag long, start int, later long, hashes array<long>")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "slot").sortWithinPartitions("slot", "doc", "start")
     found = rows.mapInArrow(_settled, "doc long, tag long, start int, later long")
@@ -226,7 +238,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, base: int = 10) -> DataF
     return found
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, base: int = 10) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, base: int = 5) -> DataFrame:
     """``docs`` with kept_text, n_words and n_removed: texts without the words that repeated windows cover.
 
     Words are runs of anything but 0x20 and 0x09-0x0D, joined by one space in kept_text. Windows are judged on the
