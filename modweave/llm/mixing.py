@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source, documents stand in order of size; each expects target / source size copies. The prefix sums of the
-expected copies, shifted by one random offset per source, cross integers; a document is emitted once per integer that
-it crosses. As sizes are in order, what a source gives differs from its target by about one document at most, and of a
-fixed number of random offsets each source keeps the one that comes nearest.
+Within a source each document expects target / source size copies. The prefix sums of the expected copies, shifted by one
+random offset per source, cross integers; a document is emitted once per integer that it crosses. Documents stand in order
+of size, so that whichever of a few neighbours is taken hardly matters: what a source gives differs from its target by
+about one document.
 
-A few documents can be most of a source. So its largest ones form a certainty stratum: their expected copies are whole
-numbers, rounded up or down from the source's rate such that the error, carried from one to the next, stays least. The
-rate of the others makes up for what is left of it.
+One document can be a good part of a source. Those of more than 1 / ``NEAR`` of the source's target are its certainty units,
+as survey sampling calls them: their expected copies are whole numbers, the source's rate rounded down or up such that the
+words still owed, carried from one to the next, stay least; the expected copies of the others make up for what is left.
+There are fewer than ``NEAR`` * source size / target of them, and none in a source of many documents of like size.
 
 Order and prefix sums are distributed: documents are range-partitioned by source, size and a hash, each knows its
 place in its partition, and a table of one row per partition and source tells how many come before.
@@ -15,6 +16,9 @@ place in its partition, and a table of one row per partition and source tells ho
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,7 @@ from modweave.llm.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its own size that a source may be asked for
-_TRIES = 48
-_CERTAIN = 32  # largest documents of a source whose expected copies are whole
+NEAR = 128  # a document of a larger share of the target than one in this many has whole expected copies
 _OFFSETS = 1024  # offsets are odd multiples of 1 / (2 * _OFFSETS), which sums with whole numbers keep exactly
 
 
@@ -53,14 +56,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.least("bound", F.coalesce(F.col("level") * F.col("w"), "bound")).alias("target"))
 
 
+def whole_copies(sizes: list[int], rate: float) -> list[int]:
+    """``rate`` rounded down or up for documents of these sizes, such that the words owed after each are fewest."""
+    out, owed, low = [], 0.0, math.floor(rate)
+    for size in sizes:
+        owed += rate * size
+        copies = low + int(rate > low and abs(owed - (low + 1) * size) < abs(owed - low * size))
+        owed -= copies * size
+        out.append(copies)
+    return out
+
+
+def _certain(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("rank", "descending")])
+    copies = whole_copies(table.column("size").to_pylist(), table.column("rate")[0].as_py())
+    return table.append_column("copies", pa.array(copies, pa.int64()))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, total: float = 1.0, seed: int = 7) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of ``docs``.
+    """``(doc_id, tag, source, size, source_size, target, copies, taken)`` for each row of ``docs``.
 
     size is the number of words (0 for null and blank texts), copies how often the mix holds the document and taken
-    copies * size. Null is a source of its own. A source whose texts have no words has target 0 and no copies. Repeated
-    rows are documents of their own. Reruns on the same rows give the same copies. Extra columns are ignored.
+    copies * size; tag is a hash of the text. Null is a source of its own. A source whose texts have no words has target 0
+    and no copies. Repeated rows are documents of their own. Reruns on the same rows give the same copies. Extra columns
+    are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("tag"))
+    sized = cut(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("tag")))  # texts are read once
     key = [F.col("source").isNull(), F.col("source"), F.col("size"), F.xxhash64("doc_id", "tag", F.lit(seed)), F.col("doc_id"), F.col("tag")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = sized.repartitionByRange(n, *key).sortWithinPartitions(*key)
@@ -70,46 +91,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, t
     parts = ordered.groupBy("source", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.sum("size").alias("size"))
     parts = cut(parts)  # one row per partition and source in it
     goal = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, total)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    offset = (F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)), F.lit(_OFFSETS)) * 2 + 1) / F.lit(2.0 * _OFFSETS)
+    goal = goal.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("rate"), offset.alias("offset"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).drop("size", "first")
-    goal = goal.withColumnRenamed("source", "__source")
-    parts = parts.join(goal, parts["source"].eqNullSafe(goal["__source"])).drop("__source")
-    parts = parts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    parts = parts.join(parts.groupBy(F.col("source").alias("__all")).agg(F.sum("n").alias("docs")), F.col("source").eqNullSafe(F.col("__all"))).drop("n", "__all")
-    parts = parts.withColumn("hash", F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed)))
-    parts = parts.withColumnsRenamed({"source": "__source", "part": "__part"})
+    parts = parts.select("source", F.col("part").alias("__part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("before"))
+    parts = cut(parts.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("source"))
 
     def placed(parts: DataFrame) -> DataFrame:
-        out = ordered.join(parts, (ordered["part"] == parts["__part"]) & ordered["source"].eqNullSafe(parts["__source"]))
-        return out.withColumn("rank", F.col("place") + F.col("before"))
-
-    def rounded(acc: Column, doc: Column) -> Column:
-        """Words still owed after a document, and the copies so far with this one's."""
-        low, owed = F.floor("rate"), acc["owed"] + F.col("rate") * doc["size"]
-        up = (F.abs(owed - (low + 1) * doc["size"]) < F.abs(owed - low * doc["size"])) & (low < F.ceil("rate"))
-        c = (low + F.when(up, 1).otherwise(0)).cast("long")
-        return F.struct((owed - c * doc["size"]).cast("double").alias("owed"), F.concat(acc["copies"], F.array(c)).alias("copies"))
-
-    largest = placed(parts).where(F.col("rank") >= F.col("docs") - _CERTAIN)
-    largest = largest.groupBy(F.col("source").alias("__largest")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "size")))).alias("largest"), F.first("rate").alias("rate"), F.first("source_size").alias("source_size"))
-    start = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<bigint>)").alias("copies"))
-    largest = largest.withColumn("done", F.aggregate("largest", start, rounded))
-    rest = F.col("source_size") - F.aggregate("largest", F.lit(0).cast("long"), lambda n, d: n + d["size"])
-    rate = F.when(rest > 0, F.least(F.greatest(F.col("rate") + F.col("done.owed") / F.greatest(rest, F.lit(1)), F.lit(0.0)), F.lit(float(most)))).otherwise(F.col("rate"))
-    largest = cut(largest.select("__largest", F.col("done.copies").alias("certain"), rate.alias("rate")))  # one row per source
-    parts = parts.drop("rate").join(largest, F.col("__source").eqNullSafe(F.col("__largest"))).drop("__largest")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
-        certain = F.get("certain", (F.col("docs") - F.col("rank") - 1).cast("int"))
-        return F.when(F.col("rank") >= F.col("docs") - _CERTAIN, certain).otherwise(F.least(crossed, F.ceil("rate"))).cast("long")
-
-    def offset(k: int) -> Column:
-        return (F.pmod(F.col("hash") + k * (2 * _OFFSETS // _TRIES + 1), F.lit(_OFFSETS)) * 2 + 1) / F.lit(2.0 * _OFFSETS)
-
-    # of _TRIES random offsets, each source takes the one whose words come nearest its target
-    misses = [F.struct(F.abs(F.sum(copies(offset(k)) * F.col("size")) - F.first("target")).alias("miss"), F.first(offset(k)).alias("offset")) for k in range(_TRIES)]
-    best = placed(parts).groupBy(F.col("source").alias("__best")).agg(F.array_min(F.array(*misses)).alias("best"))
-    parts = parts.join(best, parts["__source"].eqNullSafe(best["__best"])).withColumn("offset", F.col("best.offset"))
-    out = placed(parts).withColumn("copies", copies(F.col("offset")))
-    return out.select("doc_id", "tag", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        out = ordered.join(parts, (F.col("part") == F.col("__part")) & F.col("source").eqNullSafe(F.col("__source")))
+        return out.withColumn("rank", F.col("place") + F.col("before")).select("doc_id", "tag", "source", "size", "source_size", "target", "rate", "offset", "rank")
+
+    large = F.col("size") * NEAR > F.col("target")
+    some = placed(parts).where(large)
+    certain = cut(some.groupBy("source").applyInArrow(_certain, some.withColumn("copies", F.lit(0).cast("long")).schema))
+    given = certain.groupBy(F.col("source").alias("__of")).agg(F.sum(F.col("copies") * F.col("size")).alias("given"), F.sum("size").alias("words"))
+    rest = F.col("source_size") - F.coalesce("words", F.lit(0))
+    rate = F.when(rest > 0, F.least(F.greatest((F.col("target") - F.coalesce("given", F.lit(0))) / F.greatest(rest, F.lit(1)), F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+    parts = parts.join(given, F.col("__source").eqNullSafe(F.col("__of")), "left").withColumn("rate", rate).drop("__of", "given", "words")
+    crossed = F.floor((F.col("rank") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
+    sampled = placed(parts).where(~large).withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long"))
+    out = sampled.unionByName(certain).select("doc_id", "tag", "source", "size", "source_size", "target", "copies")
+    return out.withColumn("taken", F.col("copies") * F.col("size"))

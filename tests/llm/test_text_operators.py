@@ -1,20 +1,24 @@
 """Operators on texts against brute force, on a fixture with nulls, empty, blank, very long and repeated texts and clashing columns."""
 
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from modweave.llm import mixing
+from modweave.llm import substring_dedup as substring
 from modweave.llm.jaccard_join import Bands, near_duplicates
 from modweave.llm.language import UNKNOWN, codewords, languages
 from modweave.llm.mixing import mix, targets
 from modweave.llm.packing import pack, plan
 from modweave.llm.quality import quality
 from modweave.llm.runtime import text_bytes
-from modweave.llm.substring_dedup import substring_dedup
+from modweave.llm.substring_dedup import repeated_windows, substring_dedup
 from modweave.llm.tokens import NAME, Encoder, library, pieces, token_counts, vocabulary_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -100,8 +104,9 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("base", [10, 5])
-def test_substrings(docs, none, rows, base):
+@pytest.mark.parametrize("base, frequent", [(10, 1 << 14), (5, 1 << 14), (5, 2)])
+def test_substrings(docs, none, rows, base, frequent, monkeypatch):
+    monkeypatch.setattr(substring, "_FREQUENT", frequent)
     expected = removed(rows)
     got = substring_dedup(docs.withColumn("copy", F.col("text")), base=base).select("doc_id", "copy", "n_words", "n_removed", "kept_text", "bucket", "__x").collect()
     assert len(got) == len(rows)
@@ -110,6 +115,25 @@ def test_substrings(docs, none, rows, base):
     assert substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 14, 3])
+def test_a_passage_in_many_texts(spark, frequent, monkeypatch):
+    """Twelve words that all texts share, within different words, in longer passages that some share."""
+    monkeypatch.setattr(substring, "_FREQUENT", frequent)
+    rng = np.random.default_rng(7)
+    some = lambda n: " ".join(f"v{w}" for w in rng.integers(0, 9000, n))
+    line, longer = some(12), some(7)
+    rows = [(i, f"{some(30)} {longer if i % 5 == 0 else some(7)} {line} {some(int(rng.integers(0, 30)))}") for i in range(120)]
+    rows += [(200 + i, line + " " + longer) for i in range(3)] + [(300, " ".join([line] * 9))]
+    expected = removed(rows)
+    for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy", F.col("text")).repartition(5)).collect():
+        assert (r.n_words, r.n_removed, r.kept_text) == expected[r.doc_id, r.copy]
+
+
+def test_the_search_ends_where_nothing_survives(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(50))) for i in range(20)], "doc_id long, text string")
+    assert repeated_windows(docs).count() == 0 and substring_dedup(docs).where("n_removed = 0 and n_words = 50").count() == 20
+
+
 def test_token_counts(docs, none, rows):
     encoder = library(vocabulary_path(NAME, ".json"))
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs).collect())
@@ -188,6 +212,37 @@ def test_mixing(spark, docs, none, rows):
     assert mix(none).count() == 0
 
 
+@pytest.mark.parametrize("near", [128, 10, 1])
+def test_copies_are_the_integers_that_prefix_sums_cross(spark, monkeypatch, near):
+    """Against exact fractions, document by document in the order of size, after those that are a good part of their target."""
+    monkeypatch.setattr(mixing, "NEAR", near)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), " ".join(["w"] * int(n)), (None, "a", "b", "ä")[i % 4]) for i, n in enumerate(rng.pareto(1.2, 300) * 9)]
+    rows += rows[:7] + [(None, "x y", "a"), (None, None, None), (5, None, "only empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).withColumn("key", F.xxhash64("doc_id", "tag", F.lit(7))).withColumn("begin", F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(7)), F.lit(1024))).collect()
+    taken, sampled = [], 0
+    for source in {r.source for r in got}:
+        order = sorted((r for r in got if r.source == source), key=lambda r: (r.size, r.key))
+        target, size = order[0].target, order[0].source_size
+        large = [r for r in order if r.size * near > target][::-1]
+        owed, rate = 0.0, target / size if size else 0.0
+        for r in large:
+            best = min({math.floor(rate), math.ceil(rate)}, key=lambda c: (abs(owed + rate * r.size - c * r.size), c))
+            owed += rate * r.size - best * r.size
+            taken.append((r, best * r.size))
+        rest = size - sum(r.size for r in large)
+        rate = min(max((target - sum(t for r, t in taken if r.source == source)) / rest, 0.0), 3.0) if rest else 0.0
+        total = Fraction(2 * order[0].begin + 1, 2048)
+        for r in order[: len(order) - len(large)]:
+            after = total + Fraction(rate)
+            taken.append((r, (math.floor(after) - math.floor(total)) * r.size))
+            total, sampled = after, sampled + 1
+    assert len(taken) == len(got) == len(rows) and sampled > (50 if near < 128 else 0)
+    at = lambda r: (r.source is not None, r.source or "", r.doc_id is None, r.doc_id or 0, r.size)
+    assert sorted((at(r), r.taken) for r in got) == sorted((at(r), t) for r, t in taken)
+
+
 def shared_out(sizes):
     """Targets by resharing the excess until none is above three times its size."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
