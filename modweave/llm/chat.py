@@ -5,6 +5,10 @@ Each turn becomes reserved ids around two segments that are encoded separately,
 as a control string in the rendered text is escaped inside role and text, reversibly: a backslash goes before each
 backslash and before the first character of each control string. The loss mask follows from the segments' lengths by
 prefix sums: it covers the text of assistant turns.
+
+Turns are range-partitioned in the order of their conversations, so a conversation of any length is dealt over tasks. A
+task numbers the turns and tokens of what it has of a conversation; only its first one can have begun in tasks before,
+and a table of at most one row per task tells by how much.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modweave.llm.runtime import cut
 from modweave.llm.tokens import NAME, library, vocabulary_path
 
 # The template: control strings as rendered, in the order of their reserved ids behind the vocabulary.
@@ -50,8 +55,10 @@ class Template:
 
     def turns(self, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all turns one after another, their loss mask, and the turns' bounds."""
-        n = len(roles)
-        segments = self.library.encode_batch_fast([escape(s) for pair in zip(roles, texts) for s in pair], add_special_tokens=False)
+        n, names = len(roles), sorted(set(roles))
+        encoded = self.library.encode_batch_fast([escape(s) for s in (*names, *texts)], add_special_tokens=False)
+        of = {name: e.ids for name, e in zip(names, encoded)}
+        segments = [ids for role, text in zip(roles, encoded[len(names) :]) for ids in (of[role], text.ids)]
         lengths = np.array([len(e) for e in segments], np.int64).reshape(n, 2)
         ends = np.cumsum(lengths.sum(axis=1) + 3)
         bounds = np.concatenate([[0], ends])
@@ -59,7 +66,7 @@ class Template:
         text_at = bounds[:-1] + lengths[:, 0] + 2
         ids[bounds[:-1]], ids[text_at - 1], ids[ends - 1] = self.base + TURN, self.base + SEP, self.base + END
         for i, (role, text) in enumerate(zip(segments[::2], segments[1::2])):
-            ids[bounds[i] + 1 : text_at[i] - 1], ids[text_at[i] : ends[i] - 1] = role.ids, text.ids
+            ids[bounds[i] + 1 : text_at[i] - 1], ids[text_at[i] : ends[i] - 1] = role, text
         learnt = np.array([r == "assistant" for r in roles], bool)
         steps = np.zeros(len(ids) + 1, np.int8)
         np.add.at(steps, text_at[learnt], 1)
@@ -70,28 +77,35 @@ class Template:
         """The formatted text of ids."""
         out, at = [], 0
         for i in np.append(np.flatnonzero(ids >= self.base), len(ids)):
-            out.append(self._text(ids[at:i]))
+            out.append(self._texts([ids[at:i]])[0])
             if i < len(ids):
                 out.append(CONTROLS[int(ids[i]) - self.base])
             at = i + 1
         return "".join(out)
 
-    def parse(self, ids: np.ndarray) -> tuple[str, str]:
-        """Role and text of one turn's ids."""
-        sep = int(np.flatnonzero(ids == self.base + SEP)[0])
-        return unescape(self._text(ids[1:sep])), unescape(self._text(ids[sep + 1 : -1]))
+    def parse(self, turns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str, str]]:
+        """Role, text and text under the mask of each turn, unescaped, from its ids and mask."""
+        segments = []
+        for ids, mask in turns:
+            sep = int(np.flatnonzero(ids == self.base + SEP)[0])
+            segments += [ids[1:sep], ids[sep + 1 : -1], ids[mask == 1]]
+        found = [unescape(t) for t in self._texts(segments)]
+        return list(zip(found[::3], found[1::3], found[2::3]))
+
+    def _texts(self, segments: list[np.ndarray]) -> list[str]:
+        return self.library.decode_batch([s.tolist() for s in segments], skip_special_tokens=False)
 
-    def masked(self, ids: np.ndarray, mask: np.ndarray) -> str:
-        """The text under the mask, unescaped."""
-        return unescape(self._text(ids[mask == 1]))
 
-    def _text(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
+def rendered(role: str, text: str) -> str:
+    """A turn as its ids read."""
+    return f"{CONTROLS[TURN]}{escape(role)}{CONTROLS[SEP]}{escape(text)}{CONTROLS[END]}"
 
 
 def _format(json_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(json_path)
+        from pyspark import TaskContext
+
+        template, task = Template(json_path), TaskContext.get().partitionId()
         last, nth, place = object(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -105,10 +119,9 @@ def _format(json_path: str):
                     numbers[i], places[i] = nth, place
                     nth, place = nth + 1, place + int(bounds[i + 1] - bounds[i])
                 ends = pa.array(bounds.astype(np.int32))
-                formatted = [template.render(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), pa.array(numbers), pa.array(places), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(mask)), pa.array(formatted, pa.string())],
-                    ["conv_id", "nth", "token_offset", "ids", "loss_mask", "formatted"],
+                    [part.column("conv_id"), pa.array(np.full(len(roles), task, np.int32)), pa.array(numbers), pa.array(places), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(mask)), pa.array(list(map(rendered, roles, texts)), pa.string())],
+                    ["conv_id", "task", "nth", "token_offset", "ids", "loss_mask", "formatted"],
                 )
 
     return run
@@ -118,20 +131,30 @@ def format_chats(conversations: DataFrame, json_path: str | None = None) -> Data
     """One row per turn: conv_id, nth (from 0), token_offset (of the turn in its conversation), ids, loss_mask, formatted.
 
     Turns stand in order of turn, ties in order of role and text; null turns come first. A null role or text counts as
-    empty; rows with a null conv_id are one conversation. The rows of a conversation are next to each other and in
-    order in the result, which streams through: no conversation is held in memory, however long. Extra columns are
-    ignored.
+    empty; rows with a null conv_id are one conversation; repeated rows are turns of their own. nth tells the order, the
+    rows of the result may come in any. Extra columns are ignored.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    spark = conversations.sparkSession
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    # texts that begin alike stay together, so that their order is kept; whole texts would be heavy as bounds
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:3], F.substring("text", 1, 64)).sortWithinPartitions(*order)
     kind = rows.schema["conv_id"].dataType.simpleString()
     run = _format(json_path or vocabulary_path(NAME, ".json"))
-    return rows.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, nth long, token_offset long, ids array<int>, loss_mask array<tinyint>, formatted string")
+    found = cut(dealt.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, task int, nth long, token_offset long, ids array<int>, loss_mask array<tinyint>, formatted string"))
+    held = found.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("tokens"))
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    begun = held.select(F.col("conv_id").alias("__conv"), F.col("task").alias("__task"), F.sum("n").over(before).alias("__n"), F.sum("tokens").over(before).alias("__tokens")).where("__n > 0")
+    found = found.join(F.broadcast(begun), (F.col("task") == F.col("__task")) & F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    return found.select("conv_id", (F.col("nth") + F.coalesce("__n", F.lit(0))).alias("nth"), (F.col("token_offset") + F.coalesce("__tokens", F.lit(0))).alias("token_offset"), "ids", "loss_mask", "formatted")
 
 
 def _digests(json_path: str):
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(json_path)
-        state = None
+        state, kind = None, pa.int64()
         done: list[tuple] = []
 
         def close():
@@ -139,39 +162,44 @@ def _digests(json_path: str):
                 conv, n, turns, chars, loss, formatted = state
                 done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
-        def flush(kind):
-            columns = list(zip(*done))
+        def flush():
             types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
             done.clear()
             return batch
 
-        kind = pa.int64()
         for batch in batches:
             kind = batch.column("conv_id").type
-            for conv, nth, ids, mask, formatted in zip(batch.column("conv_id").to_pylist(), batch.column("nth").to_pylist(), batch.column("ids"), batch.column("loss_mask"), batch.column("formatted")):
-                if nth == 0:
-                    close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
-                role, text = template.parse(ids)
-                learnt = template.masked(ids, mask)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(learnt)
-                state[4].update(learnt.encode())
-                state[5] += len(formatted.as_py())
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                turns = [(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(part.column("ids"), part.column("loss_mask"))]
+                for conv, formatted, (role, text, learnt) in zip(part.column("conv_id").to_pylist(), part.column("chars").to_pylist(), template.parse(turns)):
+                    if state is None or conv != state[0]:
+                        close()
+                        state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    state[3] += len(learnt)
+                    state[4].update(learnt.encode())
+                    state[5] += formatted
             if done:
-                yield flush(kind)
+                yield flush()
         close()
         if done:
-            yield flush(kind)
+            yield flush()
 
     return run
 
 
 def read_back(chats: DataFrame, json_path: str | None = None) -> DataFrame:
-    """Per conversation of ``format_chats``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the ids and masks."""
+    """Per conversation of ``format_chats``, wherever its rows are: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, from the ids and masks.
+
+    A digest is over a conversation from its first turn to its last, so one task reads it, as a stream: no conversation is
+    held in memory, however long.
+    """
     kind = chats.schema["conv_id"].dataType.simpleString()
     run = _digests(json_path or vocabulary_path(NAME, ".json"))
-    return chats.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = chats.select("conv_id", "nth", "ids", "loss_mask", F.length("formatted").alias("chars"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
+    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

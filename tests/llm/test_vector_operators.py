@@ -5,7 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from modweave.llm import permutation_index
 from modweave.llm.chat import Template, escape, format_chats, read_back, unescape
 from modweave.llm.components import components
 from modweave.llm.permutation_index import nearest
@@ -72,19 +74,42 @@ def test_recall_at_the_threshold_is_held_at_every_size(n):
     assert met.mean() >= 0.98
 
 
-def test_nearest(spark, table, rows):
+@pytest.mark.parametrize("indexed", [16, 0])
+def test_nearest(spark, table, rows, indexed, monkeypatch):
+    """Against brute force, for every length of vectors, with and without an index; other columns of the table clash with the operator's."""
+    monkeypatch.setattr(permutation_index, "_INDEXED", indexed)
+    more = [(1000 + i, [float(i % 3), 1.0 + i], 0, 1, "r") for i in range(12)] + [(2000, [5.0], 0, 1, "r")]
+    more = table.union(spark.createDataFrame(more, table.schema)).withColumn("score", F.lit("x")).withColumn("dim", F.lit(1)).withColumn("near", F.lit(None).cast("string"))
     got = {}
-    for r in nearest(table, every=10, k=5, share=1.0).collect():
+    for r in nearest(more, every=10, k=5, share=1.0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = {r[0]: np.array(r[1], np.float32).astype(float) for r in rows if usable(r[1]) and len(r[1]) == 32}
-    assert set(got) == {i for i in good if i % 10 == 0}
+    good = {r.vec_id: np.array(r.embedding, np.float32).astype(float) for r in more.collect() if usable(r.embedding)}
+    assert set(got) == {i for i in good if i % 10 == 0 and i != 2000}
     for q, found in got.items():
-        score = sorted(((-float(good[q] @ v), i) for i, v in good.items() if i != q))[:5]
+        score = sorted(((-float(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q])))[:5]
         assert [i for _, i, _ in sorted(found)] == [i for _, i in score]
         assert [s for _, _, s in sorted(found)] == pytest.approx([-s for s, _ in score])
     assert nearest(table.limit(0)).count() == 0
 
 
+def test_the_inverted_files_add_up_to_the_footrule():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 16)), rng.normal(size=(7, 16))
+    index = permutation_index.Permutations(permutation_index._apart(x, 20), float(np.sqrt((x * x).sum(axis=1).max())), 8)
+    near, asked = index.nearest(x), index.nearest(y, query=True)
+    files = permutation_index.Files(near, 20)
+    place = lambda row, p: row.tolist().index(p) if p in row else len(row)
+    foot = [[sum(abs(place(a, p) - place(b, p)) for p in range(20)) for b in near] for a in asked]
+    for a, expected in zip(asked, foot):
+        assert (8 * 9 - 2 * files.saved(a) == expected).all()
+        assert sorted(np.array(expected)[files.candidates(a, 30)]) == sorted(expected)[:30]
+    pivot = index.pivots
+    for a, v in zip(near, x):  # nearest pivots by distance, in the space where all norms are equal
+        extra = lambda z: np.sqrt(max(index.largest**2 - z @ z, 0))
+        away = [(p @ p) + extra(p) ** 2 - 2 * (v @ p + extra(v) * extra(p)) for p in pivot]
+        assert [away[k] for k in a] == pytest.approx(sorted(away)[:8])
+
+
 def test_recall_with_its_own_parameters(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(9000, 64)).astype(np.float32)
@@ -119,6 +144,12 @@ def recall(spark, x, **given):
     return np.array(out)
 
 
+def test_recall_over_several_blocks_and_rows_of_one_id(spark):
+    x = np.random.default_rng(5).normal(size=(30000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x)[:, 1].mean() >= 0.9
+
+
 @pytest.mark.parametrize("noise", [0, 0.03])
 def test_recall_where_a_third_are_copies_or_a_cluster(spark, noise):
     rng = np.random.default_rng(9)
@@ -164,9 +195,32 @@ def test_chats(spark):
     assert read_back(format_chats(chats.limit(0))).count() == 0
 
 
+def test_a_long_conversation_is_dealt_over_tasks_and_read_from_storage(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(c, int(t), ("user", "assistant")[int(t) % 2], f"{rng.integers(0, 99)} said " * int(rng.integers(0, 30))) for c, n in ((1, 3), (2, 900), (3, 2), (None, 400)) for t in rng.integers(0, n, n)]
+    formatted = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    formatted.repartition(7).write.parquet(str(tmp_path / "chats"))  # rows in any order
+    stored = spark.read.parquet(str(tmp_path / "chats"))
+    by_conv = {}
+    for r in stored.collect():
+        by_conv.setdefault(r.conv_id, []).append(r)
+    got = {r.conv_id: r for r in read_back(stored).collect()}
+    assert set(got) == set(by_conv) == {1, 2, 3, None}
+    t = Template(vocabulary_path(NAME, ".json"))
+    for conv, found in by_conv.items():
+        found.sort(key=lambda r: r.nth)
+        said = sorted((r[1:] for r in rows if r[0] == conv))
+        assert [r.nth for r in found] == list(range(len(said)))
+        assert [r.token_offset for r in found] == np.cumsum([0, *(len(r.ids) for r in found)])[:-1].tolist()
+        assert [t.render(np.array(r.ids)) for r in found] == [r.formatted for r in found]
+        learnt = "".join(x for _, role, x in said if role == "assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in said).encode()).hexdigest()
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
 def test_turns_are_ids_and_masks():
     t = Template(vocabulary_path(NAME, ".json"))
     ids, mask, bounds = t.turns(["user", "assistant"], ["<turn>", "ok <|endoftext|>"])
-    assert t.parse(ids[: bounds[1]]) == ("user", "<turn>") and mask[: bounds[1]].sum() == 0
-    assert t.masked(ids, mask) == "ok <|endoftext|>" and (ids >= t.base).sum() == 6
+    turns = [(ids[a:b], mask[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert t.parse(turns) == [("user", "<turn>", ""), ("assistant", "ok <|endoftext|>", "ok <|endoftext|>")] and (ids >= t.base).sum() == 6
     assert t.render(ids) == "<turn>user<text>\\<turn></turn><turn>assistant<text>ok \\<|endoftext|></turn>"
