@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +44,24 @@ def site_symbols(sites: DataFrame, bindings: DataFrame, verdicts: DataFrame) ->
     return out.withColumn("skip", skip)
 
 
-def site_costs(sites: DataFrame, symbols: DataFrame, links: DataFrame, shared=None) -> DataFrame:
+def site_costs(sites: DataFrame, symbols: DataFrame, links: DataFrame) -> DataFrame:
     """Each site with actual and minimal cost, excess, amplification, rewritable and skipped symbols, fully_rewritable.
 
     actual is what the barrel reaches and one more. minimal counts the union of what the definitions reach and the
     definitions; whatever cannot be traced adds the barrel itself, external symbols add nothing.
     """
-    need = symbols.select("module", "ord", F.when(F.col("verdict") == "definition", F.col("def_module")).when(F.col("verdict") == "external", F.lit(None)).otherwise(F.col("target")).alias("root"), "skip")
-    bare = sites.join(symbols.select("module", "ord").distinct(), ["module", "ord"], "left_anti").select("module", "ord", F.col("target").alias("root"))
-    roots = need.where("root is not null").select("module", "ord", "root").unionByName(bare).distinct()
+    need = symbols.select("module", "ord", F.when(F.col("verdict") == "definition", F.col("def_module")).when(F.col("verdict") == "external", F.lit(None)).otherwise(F.col("target")).alias("root"), F.col("skip").isNull().alias("free"))
     # sites that need the same set of modules share one cost
-    sets = roots.groupBy("module", "ord").agg(F.array_sort(F.collect_set("root")).alias("roots"))
-    distinct = cut(sets.select("roots").distinct().withColumn("set_id", F.xxhash64("roots")))
-    members = cut(distinct.select("set_id", F.explode("roots").alias("src")))
-    reach = graph.closure(links, members.select("src").unionByName(sites.select(F.col("target").alias("src"))), shared)
-    reach = cut(reach)
-    union = members.join(reach, "src").select("set_id", "dst").unionByName(members.select("set_id", F.col("src").alias("dst"))).distinct()
-    minimal = sets.select("module", "ord", F.xxhash64("roots").alias("set_id")).join(union.groupBy("set_id").agg(F.count("*").alias("minimal_cost")), "set_id").drop("set_id")
-    actual = reach.groupBy(F.col("src").alias("target")).agg(F.count("*").alias("reached"))
-    tally = symbols.groupBy("module", "ord").agg(F.count_if(F.col("skip").isNull()).alias("rewritable"), F.count_if(F.col("skip").isNotNull()).alias("skipped"))
-    out = sites.join(actual, "target", "left").join(minimal, ["module", "ord"], "left").join(tally, ["module", "ord"], "left")
-    out = out.na.fill(0, ["reached", "minimal_cost", "rewritable", "skipped"]).withColumn("actual_cost", F.col("reached") + 1)
+    per = need.groupBy("module", "ord").agg(F.array_sort(F.collect_set("root")).alias("roots"), F.count_if("free").alias("rewritable"), F.count_if(~F.col("free")).alias("skipped"))
+    out = sites.join(per, ["module", "ord"], "left").withColumn("roots", F.coalesce("roots", F.array("target"))).na.fill(0, ["rewritable", "skipped"])
+    out = cut(out.withColumn("set_id", F.xxhash64("roots")))
+    minimal = graph.union_sizes(links, out.select("set_id", "roots").where(F.size("roots") > 0).distinct()).withColumnRenamed("n", "minimal_cost")
+    actual = graph.closure_sizes(links, sites.select(F.col("target").alias("src"))).select(F.col("src").alias("target"), (F.col("n") + 1).alias("actual_cost"))
+    out = out.join(actual, "target").join(minimal, "set_id", "left").na.fill(0, ["minimal_cost"])
     out = out.withColumn("excess", F.greatest(F.col("actual_cost") - F.col("minimal_cost"), F.lit(0).cast("long")))
     out = out.withColumn("amplification", F.col("actual_cost") / F.greatest(F.col("minimal_cost"), F.lit(1)))
     out = out.withColumn("fully_rewritable", (F.col("rewritable") > 0) & (F.col("skipped") == 0))
-    return out.drop("reached", "side_effects")
+    return out.drop("roots", "set_id", "side_effects")
 
 
 def barrel_amplification(costs: DataFrame) -> DataFrame:
@@ -102,8 +96,9 @@ def entrypoint_projection(links: DataFrame, costs: DataFrame, symbols: DataFrame
     direct = full.join(symbols.select("module", "ord", "def_module"), ["module", "ord"]).join(from_barrels, ["barrel", "def_module"], "left_semi")
     changed = links.join(redirects, ["src", "dst"], "left_anti").unionByName(direct.select(F.col("module").alias("src"), F.col("def_module").alias("dst"))).distinct()
     before = graph.closure_sizes(links, starts).select(F.col("src").alias("entrypoint"), (F.col("n") + 1).alias("before"))
-    reach = graph.closure(cut(changed), starts).where("src != dst").groupBy(F.col("src").alias("entrypoint")).agg(F.count("*").alias("n"))
-    out = before.join(reach, "entrypoint", "left").select("entrypoint", "before", (F.coalesce("n", F.lit(0)) + 1).alias("after"))
+    alone = starts.distinct().select(F.col("src").alias("set_id"), F.array("src").alias("roots"))
+    after = graph.union_sizes(cut(changed), alone).select(F.col("set_id").alias("entrypoint"), F.col("n").alias("after"))
+    out = before.join(after, "entrypoint")
     return out.withColumn("removed", F.greatest(F.col("before") - F.col("after"), F.lit(0).cast("long")))
 
 
@@ -114,10 +109,40 @@ def cycles(scc: DataFrame) -> DataFrame:
 
 
 def shortest_cycles(links: DataFrame, scc: DataFrame) -> DataFrame:
-    """(scc, length, path): the lexicographically least shortest closed path through each cycle's smallest member.
-
-    Paths grow by one edge a round inside their component; of those that end in one node the least is kept.
-    """
+    """(scc, length, path): the lexicographically least shortest closed path through each cycle's smallest member."""
+    shared = graph.share(links)
+    if shared is None:
+        return join_shortest_cycles(links, scc)
+
+    def run(batches):
+        adjacency = shared.value
+        begin, to = adjacency.ways[False]
+        names = adjacency.names
+        for batch in batches:
+            roots, paths = [], []
+            for root in adjacency.numbers(batch.column("scc").cast(pa.large_string())).tolist():
+                # numbers follow names, so the first path to a node in breadth-first order is the least of the shortest
+                came, wave = {}, [root]
+                while root not in came:
+                    ahead = []
+                    for v in wave:
+                        for w in to[begin[v] : begin[v + 1]].tolist():
+                            if w not in came:
+                                came[w] = v
+                                ahead.append(w)
+                    wave = ahead
+                path = [root, came[root]]
+                while path[-1] != root:
+                    path.append(came[path[-1]])
+                roots.append(root)
+                paths.append(names.take(pa.array(path[::-1])).to_pylist())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(roots, pa.int64())).cast(pa.string()), pa.array([len(p) - 1 for p in paths], pa.int64()), pa.array(paths, pa.list_(pa.string()))], ["scc", "length", "path"])
+
+    return scc.select("scc").distinct().mapInArrow(run, "scc string, length long, path array<string>")
+
+
+def join_shortest_cycles(links: DataFrame, scc: DataFrame) -> DataFrame:
+    """The same by joins: paths grow by one edge a round inside their component; of those that end in one node the least is kept."""
     inside = links.join(scc.select(F.col("node").alias("src"), "scc"), "src").join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other").select("src", "dst", "scc")
     inside = cut(inside)
     wave = cut(inside.where("src = scc").select("scc", F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
@@ -137,9 +162,9 @@ def shortest_cycles(links: DataFrame, scc: DataFrame) -> DataFrame:
 
 def fan(links: DataFrame, direction: str, limit: int | None = None) -> DataFrame:
     """Modules with direct and transitive fan (``in`` or ``out``), most transitive first, none that have neither."""
-    ways = links if direction == "out" else links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    direct = ways.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("direct"))
-    transitive = graph.closure_sizes(ways, ways.select("src")).select(F.col("src").alias("path"), F.col("n").alias("transitive"))
+    end = "src" if direction == "out" else "dst"
+    direct = links.groupBy(F.col(end).alias("path")).agg(F.count("*").alias("direct"))
+    transitive = graph.closure_sizes(links, links.select(F.col(end).alias("src")), back=direction == "in").select(F.col("src").alias("path"), F.col("n").alias("transitive"))
     out = direct.join(transitive, "path", "full_outer").na.fill(0, ["direct", "transitive"]).where("direct > 0 or transitive > 0")
     out = out.orderBy(F.desc("transitive"), F.desc("direct"), F.split("path", "/"))
     return out if limit is None else out.limit(limit)

@@ -7,17 +7,21 @@ path, or ``ext:<package>``.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modweave.functions.storage import cut
 
 KINDS = ("static", "dynamic", "typeOnly", "reExport", "sideEffectOnly")  # in sort order
-BROADCAST_EDGES = 1_000_000  # distinct edges up to which the adjacency is broadcast: 12 MB and the names
+BROADCAST_EDGES = 1_000_000  # distinct edges up to which the adjacency is broadcast: 24 MB and the names
+BROADCAST_BYTES = 256 << 20  # of the names at both ends of the edges
+_PAIRS = 1 << 16  # pairs of a result batch, about
 
 
 def kind_rank(kind: str = "kind"):
@@ -50,95 +54,268 @@ def adjacency(edges: DataFrame, types: bool = False) -> DataFrame:
 
 
 class Adjacency:
-    """Edges of a graph within the broadcast budget as compressed rows of numbers."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray):
-        self.names, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        a, b = both[: len(src)], both[len(src) :]
-        order = np.argsort(a, kind="stable")
-        self.to, self.begin = b[order].astype(np.int32), np.searchsorted(a[order], np.arange(len(self.names) + 1))
-        self.number = None
-
-    def index(self, name: str) -> int:
-        if self.number is None:
-            self.number = {n: i for i, n in enumerate(self.names)}
-        return self.number.get(name, -1)
-
-    def reach(self, start: int) -> np.ndarray:
-        """Numbers reached by one edge or more; ``start`` only if it lies on a cycle."""
-        seen, wave = set(), [start]
-        while wave:
-            found = set()
-            for v in wave:
-                found.update(self.to[self.begin[v] : self.begin[v + 1]].tolist())
-            wave = found - seen
-            seen |= wave
-        return np.fromiter(seen, np.int64, len(seen))
-
-
-def _kernel(shared, counts: bool):
+    """Edges of a graph within the broadcast budget as compressed rows of numbers, both ways. Numbers follow the order of names."""
+
+    def __init__(self, src: pa.Array, dst: pa.Array):
+        names = pc.unique(pa.concat_arrays([src, dst]))
+        self.names = names.take(pc.array_sort_indices(names))
+        a, b = (pc.index_in(c, self.names).to_numpy() for c in (src, dst))
+        self.ways = {False: self._rows(a, b), True: self._rows(b, a)}
+        self._number: dict[str, int] | None = None
+
+    def _rows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((b, a))
+        return np.searchsorted(a[order], np.arange(len(self.names) + 1)), b[order].astype(np.int32)
+
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """The numbers of nodes, -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(names, self.names), -1).to_numpy().astype(np.int64)
+
+    def next(self, nodes: np.ndarray, back: bool = False) -> np.ndarray:
+        """The neighbours of nodes, one node's after another's."""
+        begin, to = self.ways[back]
+        size = begin[nodes + 1] - begin[nodes]
+        return to[np.repeat(begin[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def searcher(self, back: bool = False):
+        """A function from nodes to what they reach by one edge or more; they themselves only if they lie on cycles."""
+        seen = np.zeros(len(self.names), bool)
+        mark = np.zeros(len(self.names), np.int32)
+
+        def reach(start: np.ndarray) -> np.ndarray:
+            found, wave = [], start
+            while len(wave):
+                wave = self.next(wave, back)
+                wave = wave[~seen[wave]]
+                mark[wave] = np.arange(len(wave))  # the last one of equal nodes stands for all
+                wave = wave[mark[wave] == np.arange(len(wave))]
+                seen[wave] = True
+                found.append(wave)
+            out = np.concatenate(found) if found else np.zeros(0, np.int32)
+            seen[out] = False
+            return out
+
+        return reach
+
+    def components(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, smallest node of its component) for the nodes on cycles: one depth-first search, without recursion."""
+        begin, to = self.ways[False]
+        edges, first, last = to.tolist(), begin[:-1].tolist(), begin[1:].tolist()
+        n = len(first)
+        index, low, at, open_ = [0] * n, [0] * n, list(first), [False] * n
+        stack: list[int] = []
+        nodes, roots, count = [], [], 0
+        for start in range(n):
+            if index[start]:
+                continue
+            path = [start]
+            while path:
+                v = path[-1]
+                if not index[v]:
+                    count += 1
+                    index[v] = low[v] = count
+                    stack.append(v)
+                    open_[v] = True
+                if at[v] < last[v]:
+                    w = edges[at[v]]
+                    at[v] += 1
+                    if not index[w]:
+                        path.append(w)
+                    elif open_[w]:
+                        low[v] = min(low[v], index[w])
+                    continue
+                path.pop()
+                if path:
+                    low[path[-1]] = min(low[path[-1]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        open_[w] = False
+                        members.append(w)
+                        if w == v:
+                            break
+                    if len(members) > 1 or v in edges[first[v] : last[v]]:
+                        nodes += members
+                        roots += [min(members)] * len(members)
+        return np.array(nodes, np.int64), np.array(roots, np.int64)
+
+
+_shared: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def share(links: DataFrame):
+    """The adjacency of links (src, dst) as a broadcast variable, made once for a DataFrame; None if it is beyond the budget, which is measured first."""
+    if links not in _shared:
+        size = links.agg(F.count("*").alias("n"), F.sum(F.octet_length("src") + F.octet_length("dst")).alias("bytes")).first()
+        fits = size.n <= BROADCAST_EDGES and (size.bytes or 0) <= BROADCAST_BYTES
+        table = links.select("src", "dst").toArrow().combine_chunks() if fits else None
+        column = lambda c: pa.concat_arrays([x.cast(pa.large_string()) for x in table.column(c).chunks] or [pa.array([], pa.large_string())])
+        _shared[links] = links.sparkSession.sparkContext.broadcast(Adjacency(column("src"), column("dst"))) if fits else None
+    return _shared[links]
+
+
+def _named(graph: Adjacency, nodes: np.ndarray) -> pa.Array:
+    return graph.names.take(pa.array(nodes)).cast(pa.string())
+
+
+def _pairs(shared, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph: Adjacency = shared.value
+        reach = graph.searcher(back)
+        src: list[np.ndarray] = []
+        dst: list[np.ndarray] = []
+        held = 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([_named(graph, np.concatenate(c)) for c in (src, dst)], ["src", "dst"])
+
+        for batch in batches:
+            for v in graph.numbers(batch.column("src").cast(pa.large_string())):
+                found = reach(np.array([v])) if v >= 0 else np.zeros(0, np.int32)
+                for a in range(0, len(found), _PAIRS):
+                    part = found[a : a + _PAIRS]
+                    src.append(np.full(len(part), v))
+                    dst.append(part)
+                    held += len(part)
+                    if held >= _PAIRS:
+                        yield flush()
+                        src, dst, held = [], [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _sizes(shared, back: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph: Adjacency = shared.value
+        reach = graph.searcher(back)
+        for batch in batches:
+            numbers = graph.numbers(batch.column("src").cast(pa.large_string()))
+            yield pa.RecordBatch.from_arrays([batch.column("src"), pa.array([len(reach(np.array([v]))) if v >= 0 else 0 for v in numbers], pa.int64())], ["src", "n"])
+
+    return run
+
+
+def _unions(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph: Adjacency = shared.value
+        reach = graph.searcher()
         for batch in batches:
-            src, dst, n = [], [], []
-            for name in batch.column("src").to_pylist():
-                at = graph.index(name)
-                found = graph.reach(at) if at >= 0 else np.zeros(0, np.int64)
-                if counts:
-                    n.append(len(found))
-                else:
-                    src += [name] * len(found)
-                    dst.append(graph.names[found])
-            if counts:
-                yield pa.RecordBatch.from_arrays([batch.column("src"), pa.array(n, pa.int64())], ["src", "n"])
-            elif src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(np.concatenate(dst).tolist(), pa.string())], ["src", "dst"])
+            roots, out = batch.column("roots"), []
+            for i in range(batch.num_rows):
+                names = pc.unique(roots[i].values.cast(pa.large_string()))
+                numbers = graph.numbers(names)
+                inside = numbers[numbers >= 0]
+                out.append(len(names) - len(inside) + len(np.union1d(reach(inside), inside)))
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(out, pa.int64())], ["set_id", "n"])
 
     return run
 
 
-def _broadcast(links: DataFrame):
-    """The adjacency as a broadcast variable if its size, which is counted first, is within budget; else None."""
-    if links.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
-        return None
-    rows = links.toPandas()
-    return links.sparkSession.sparkContext.broadcast(Adjacency(rows["src"].to_numpy(str), rows["dst"].to_numpy(str)))
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
 
+def _turned(links: DataFrame, back: bool) -> DataFrame:
+    return links.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else links
 
-def closure(links: DataFrame, sources: DataFrame, shared=None) -> DataFrame:
-    """Distinct (src, dst): what each source (column src) reaches over ``links`` by one edge or more.
+
+def closure(links: DataFrame, sources: DataFrame, back: bool = False) -> DataFrame:
+    """Distinct (src, dst): what each source (column src) reaches over ``links`` by one edge or more; against the edges if ``back``.
 
     A breadth-first search per source over the broadcast adjacency where that fits its budget, semi-naive joins else.
     """
-    shared = shared or _broadcast(links)
+    shared, sources = share(links), sources.select("src").distinct()
     if shared is None:
-        return join_closure(links, sources)
-    tasks = max(8, sources.sparkSession.sparkContext.defaultParallelism)
-    return sources.select("src").distinct().repartition(tasks).mapInArrow(_kernel(shared, False), "src string, dst string")
+        return join_closure(_turned(links, back), sources)
+    return _spread(sources).mapInArrow(_pairs(shared, back), "src string, dst string")
 
 
-def closure_sizes(links: DataFrame, sources: DataFrame, shared=None) -> DataFrame:
+def closure_sizes(links: DataFrame, sources: DataFrame, back: bool = False) -> DataFrame:
     """(src, n): how many modules each source reaches."""
-    shared = shared or _broadcast(links)
+    shared, sources = share(links), sources.select("src").distinct()
     if shared is None:
-        return sources.select("src").distinct().join(join_closure(links, sources).groupBy("src").agg(F.count("*").alias("n")), "src", "left").na.fill(0, ["n"])
-    tasks = max(8, sources.sparkSession.sparkContext.defaultParallelism)
-    return sources.select("src").distinct().repartition(tasks).mapInArrow(_kernel(shared, True), "src string, n long")
+        return sources.join(join_closure(_turned(links, back), sources).groupBy("src").agg(F.count("*").alias("n")), "src", "left").na.fill(0, ["n"])
+    return _spread(sources).mapInArrow(_sizes(shared, back), "src string, n long")
+
+
+def union_sizes(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, n) for sets (set_id, roots): how many modules the roots are and reach together."""
+    shared = share(links)
+    if shared is None:
+        members = cut(sets.select("set_id", F.explode("roots").alias("src")))
+        reach = members.join(join_closure(links, members), "src").select("set_id", "dst")
+        return reach.unionByName(members.select("set_id", F.col("src").alias("dst"))).distinct().groupBy("set_id").agg(F.count("*").alias("n"))
+    return _spread(sets.select("set_id", "roots")).mapInArrow(_unions(shared), f"set_id {sets.schema['set_id'].dataType.simpleString()}, n long")
 
 
 def join_closure(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """The same closure by joins: each round extends only what the round before found."""
+    """The same closure by joins: each round extends, and writes, only what the round before found."""
     step = links.select(F.col("src").alias("via"), F.col("dst").alias("to"))
     new = cut(links.join(sources.select("src").distinct(), "src", "left_semi").select("src", "dst").distinct())
     found = new
     while new.limit(1).count():
         further = new.join(step, F.col("dst") == F.col("via")).select("src", F.col("to").alias("dst")).distinct()
         new = cut(further.join(found, ["src", "dst"], "left_anti"))
-        found = cut(found.unionByName(new))
+        found = found.unionByName(new)
     return found
 
 
-def components(reach: DataFrame) -> DataFrame:
-    """(node, scc) of the nodes that lie on cycles, given what each reaches: scc is the smallest member."""
-    back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("scc"))
+def components(links: DataFrame) -> DataFrame:
+    """(node, scc) of the nodes that lie on cycles: scc is the smallest member. Linear on the broadcast adjacency, by joins beyond its budget."""
+    shared = share(links)
+    if shared is None:
+        return join_components(links)
+    nodes, roots = shared.value.components()
+    spark = links.sparkSession
+    if not len(nodes):
+        return spark.createDataFrame([], "node string, scc string")
+    return spark.createDataFrame(pa.table({"node": _named(shared.value, nodes), "scc": _named(shared.value, roots)}))
+
+
+def _least_label(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the least label among a node's own and those of the nodes that reach it."""
+    labels = cut(labels)
+    wave = labels
+    while True:
+        ahead = wave.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        better = ahead.join(labels.withColumnRenamed("label", "had"), "node").where("label < had").select("node", "label")
+        wave = cut(better)
+        if not wave.limit(1).count():
+            return labels
+        labels = cut(labels.join(wave.withColumnRenamed("label", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
+def join_components(links: DataFrame) -> DataFrame:
+    """The same by joins, without any pairs: nodes without a way in or out are trimmed; then each node takes the least name
+    that reaches it, and those that reach the owner of their name back, within the name's nodes, are its component."""
+    self_loops = links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("scc"))
+    links, done = cut(links.where("src != dst").select("src", "dst").distinct()), None
+    while True:
+        left = links.count()
+        while left:  # a node on a cycle has a way in and a way out
+            inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            links = cut(inner.select("src", "dst"))
+            now = links.count()
+            if now == left:
+                break
+            left = now
+        if not left:
+            break
+        nodes = links.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+        labels = cut(_least_label(links, nodes))
+        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("__a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("__b"))
+        same = cut(links.join(a, "src").join(b, "dst").where("__a = __b").select("src", "dst", F.col("__a").alias("scc")))
+        wave = cut(same.where("dst = scc").select(F.col("src").alias("node"), "scc").distinct())
+        found = wave
+        while wave.limit(1).count():
+            ahead = same.join(wave.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "scc").distinct()
+            wave = cut(ahead.join(found, ["node", "scc"], "left_anti"))
+            found = found.unionByName(wave)
+        found = cut(found)
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        links = cut(links.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return (self_loops if done is None else done.unionByName(self_loops.join(done, "node", "left_anti"))).distinct()

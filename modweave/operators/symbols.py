@@ -7,6 +7,7 @@ out; a seed's verdict is the number of distinct definitions and packages among t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from modweave.functions.storage import cut
 
 NAMESPACE = "*"
 BROADCAST_EXPORTS = 500_000  # exports up to which they are broadcast, some 100 MB as dictionaries
+BROADCAST_BYTES = 64 << 20  # of their names
 
 
 def explicit_exports(exports: DataFrame) -> DataFrame:
@@ -54,12 +56,14 @@ def package_of(target: str):
 class Lookup:
     """The states of a module graph whose exports fit the broadcast budget."""
 
-    def __init__(self, known: set[str], explicit: list, stars: list, locals_: list):
-        self.known, self.explicit = known, {(r.module, r.name): r for r in explicit}
+    def __init__(self, modules: DataFrame, explicit: DataFrame, stars: DataFrame, locals_: DataFrame | None):
+        rows = lambda df, *names: zip(*(c.to_pylist() for c in df.select(*names).toArrow().columns))
+        self.known = {path for (path,) in rows(modules, "path")}
+        self.explicit = {(m, n): e for m, n, *e in rows(explicit, "module", "name", "kind", "local", "imported", "src")}
         self.stars: dict[str, list[str]] = {}
-        for r in stars:
-            self.stars.setdefault(r.module, []).append(r.to)
-        self.locals = {(r.module, r.local): (r.via, r.what) for r in locals_}
+        for module, to in rows(stars, "module", "to"):
+            self.stars.setdefault(module, []).append(to)
+        self.locals = {(m, local): (via, what) for m, local, via, what in rows(locals_, "module", "local", "via", "what")} if locals_ is not None else {}
 
     def ways(self, state: tuple[str, str]) -> Iterator[tuple[str, str, str]]:
         """(step, module, name) for each way on from a state."""
@@ -67,15 +71,16 @@ class Lookup:
         e = self.explicit.get(state)
         if e is None:
             goals = [(to, name) for to in self.stars.get(module, ())]
-        elif e.kind in ("local", "default"):
-            goals = [self.locals[module, e.local]] if (module, e.local) in self.locals else []
-            if not goals:
-                yield "definition", module, e.local
-        elif e.kind == "namespaceStar" and not e.src.startswith("ext:"):
-            yield "definition", e.src, NAMESPACE
-            goals = []
         else:
-            goals = [(e.src, e.imported)]
+            kind, local, imported, src = e
+            goals = [(src, imported)]
+            if kind in ("local", "default"):
+                goals = [self.locals[module, local]] if (module, local) in self.locals else []
+                if not goals:
+                    yield "definition", module, local
+            elif kind == "namespaceStar" and not src.startswith("ext:"):
+                yield "definition", src, NAMESPACE
+                goals = []
         for to, what in goals:
             yield ("external", to[4:], "") if to.startswith("ext:") else ("follow", to, what)
 
@@ -121,11 +126,13 @@ def resolve(seeds: DataFrame, modules: DataFrame, exports: DataFrame, locals_: D
     or notFound. ``locals_`` (module, local, via, what) are import bindings that exports may refer to. Where modules,
     exports and bindings fit the broadcast budget, tasks walk them for their seeds; beyond it, joins do.
     """
-    tables = [modules, exports, *([locals_] if locals_ is not None else [])]
-    if sum(t.limit(BROADCAST_EXPORTS + 1).count() for t in tables) > BROADCAST_EXPORTS:
+    held = [(modules, ["path"]), (exports, ["module", "name", "local", "imported", "src"]), *([(locals_, ["module", "local", "via", "what"])] if locals_ is not None else [])]
+    sizes = [t.select(F.lit(1).alias("n"), sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in names), F.lit(0)).alias("bytes")) for t, names in held]
+    size = functools.reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if (size.n or 0) > BROADCAST_EXPORTS or (size.bytes or 0) > BROADCAST_BYTES:
         return join_resolve(seeds, modules, exports, locals_)
     stars = exports.where("kind = 'star'").select("module", F.col("src").alias("to")).distinct()
-    lookup = Lookup({r.path for r in modules.select("path").collect()}, explicit_exports(exports).collect(), stars.collect(), locals_.collect() if locals_ is not None else [])
+    lookup = Lookup(modules, explicit_exports(exports), stars, locals_)
     spark = seeds.sparkSession
     some = seeds.select("module", "name").distinct().repartition(max(8, spark.sparkContext.defaultParallelism))
     return some.mapInArrow(_kernel(spark.sparkContext.broadcast(lookup)), "module string, name string, verdict string, def_module string, def_name string, package string, n_ends long")
@@ -143,7 +150,7 @@ def join_resolve(seeds: DataFrame, modules: DataFrame, exports: DataFrame, local
         steps = more if steps is None else steps.unionByName(more)
         ahead = more.where("step = 'follow'").select(F.col("m2").alias("module"), F.col("n2").alias("name")).distinct()
         new = cut(ahead.join(known, "module", "left_semi").join(states, ["module", "name"], "left_anti"))
-        states = cut(states.unionByName(new))
+        states = states.unionByName(new)
     if steps is None:
         steps = _steps(new, explicit, stars, locals_)
     follow = cut(steps.where("step = 'follow'").select("module", "name", "m2", "n2").join(known.withColumnRenamed("module", "m2"), "m2", "left_semi").distinct())
@@ -154,7 +161,7 @@ def join_resolve(seeds: DataFrame, modules: DataFrame, exports: DataFrame, local
     while wave.limit(1).count():
         ahead = wave.join(follow, ["module", "name"]).select("sm", "sn", F.col("m2").alias("module"), F.col("n2").alias("name")).distinct()
         wave = cut(ahead.join(reached, ["sm", "sn", "module", "name"], "left_anti"))
-        reached = cut(reached.unionByName(wave))
+        reached = reached.unionByName(wave)
     hits = reached.join(ends, ["module", "name"]).select("sm", "sn", "step", "m2", "n2").distinct()
     one = hits.groupBy("sm", "sn").agg(F.count("*").alias("n_ends"), F.min(F.struct("step", "m2", "n2")).alias("end"))
     # states that lead into a cycle are those left when states without a way on are peeled off

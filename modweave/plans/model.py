@@ -20,13 +20,27 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     return _known[key]
 
 
+def forget() -> None:
+    """Drop every known model and what it holds; the next query reads its folder anew."""
+    for m in _known.values():
+        m.release()
+    _known.clear()
+
+
 class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._held: list[DataFrame] = []
+
+    def release(self) -> None:
+        for df in self._held:
+            df.unpersist()
+        self._held.clear()
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """Held in memory or on disk, recomputed from its sources if an executor is lost; unions come in as many parts as shuffles."""
-        return df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).persist()
+        self._held.append(df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).persist())
+        return self._held[-1]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -59,10 +73,6 @@ class Model:
     def typed_links(self) -> DataFrame:
         return self._kept(graph.adjacency(self.edges, types=True))
 
-    @cached_property
-    def shared(self):
-        return graph._broadcast(self.links)
-
     @cached_property
     def barrels(self) -> DataFrame:
         return self._kept(analyses.barrels(self.modules, self.exports))
@@ -87,11 +97,11 @@ class Model:
 
     @cached_property
     def costs(self) -> DataFrame:
-        return self._kept(analyses.site_costs(self.sites, self.symbols, self.links, self.shared))
+        return self._kept(analyses.site_costs(self.sites, self.symbols, self.links))
 
     @cached_property
     def scc(self) -> DataFrame:
-        return self._kept(graph.components(graph.closure(self.links, self.links.select("src"), self.shared)))
+        return self._kept(graph.components(self.links))
 
     @cached_property
     def files(self) -> DataFrame:

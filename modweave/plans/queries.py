@@ -115,7 +115,7 @@ def _(m):
 
 @query("reach_forward", "SELECT src, dst FROM reach")
 def _(m):
-    return graph.closure(m.links, m.links.select("src"), m.shared)
+    return graph.closure(m.links, m.links.select("src"))
 
 
 @query("reach_forward_with_types", "SELECT src, dst FROM treach")
@@ -125,14 +125,13 @@ def _(m):
 
 @query("reach_reverse", "SELECT dst AS path, count(*) AS n FROM reach GROUP BY dst")
 def _(m):
-    back = m.links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.closure_sizes(back, back.select("src")).select(F.col("src").alias("path"), "n")
+    return graph.closure_sizes(m.links, m.links.select(F.col("dst").alias("src")), back=True).select(F.col("src").alias("path"), "n")
 
 
 @query("reach_union_count", "SELECT r AS region, count(DISTINCT p) AS n FROM (SELECT module AS r, src AS p FROM exports WHERE kind = 'star' UNION SELECT e.module, reach.dst FROM exports e JOIN reach ON reach.src = e.src WHERE e.kind = 'star') GROUP BY r")
 def _(m):
     groups = m.exports.where("kind = 'star'").select(F.col("module").alias("region"), F.col("src"))
-    reach = groups.join(graph.closure(m.links, groups.select("src"), m.shared), "src").select("region", F.col("dst").alias("p"))
+    reach = groups.join(graph.closure(m.links, groups.select("src")), "src").select("region", F.col("dst").alias("p"))
     return groups.select("region", F.col("src").alias("p")).unionByName(reach).distinct().groupBy("region").agg(F.count("*").alias("n"))
 
 
@@ -202,6 +201,11 @@ def _(m):
     return analyses.barrel_amplification(m.costs).where("max_amplification >= 20")
 
 
+@query("amplification_warnings", f"SELECT barrel, max_amplification FROM ({_PER_BARREL}) WHERE max_amplification > 5")
+def _(m):
+    return analyses.barrel_amplification(m.costs).where("max_amplification > 5").select("barrel", "max_amplification")
+
+
 @query("skip_reason_counts", "SELECT skip AS reason, count(*) AS n FROM syms WHERE skip IS NOT NULL GROUP BY skip")
 def _(m):
     return analyses.skip_counts(m.symbols)

@@ -43,6 +43,46 @@ def test_closures_agree(spark, seed):
     assert sizes == {a: len(s) for a, s in search(links).items()}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 5, 6])
+def test_components_agree(spark, seed):
+    links = random_links(seed, n=30, m=40)
+    df = spark.createDataFrame(links, "src string, dst string")
+    reach = search(links)
+    expected = sorted((v, min(w for w in reach[v] if v in reach.get(w, ()))) for v in reach if v in reach[v])
+    scc = graph.components(df)
+    assert sorted(map(tuple, scc.collect())) == expected
+    assert sorted(map(tuple, graph.join_components(df).collect())) == expected
+    paths_ = [sorted(map(tuple, f(df, scc).collect())) for f in (analyses.shortest_cycles, analyses.join_shortest_cycles)]
+    assert paths_[0] == paths_[1] and [p[0] for p in paths_[0]] == sorted({s for _, s in expected})
+
+
+def test_unions_back_ways_and_the_budget(spark, monkeypatch):
+    links = random_links(4)
+    df, reach = spark.createDataFrame(links, "src string, dst string"), search(links)
+    sets = [(0, ["v1"]), (1, ["v1", "v2", "nowhere"]), (2, ["nowhere"]), (3, sorted(reach)[:9])]
+    expected = sorted((i, len({*roots, *(w for v in roots for w in reach.get(v, ()))})) for i, roots in sets)
+    back = sorted((b, sum(b in s for s in reach.values())) for b in {b for _, b in links})
+    table = spark.createDataFrame(sets, "set_id long, roots array<string>")
+    results = []
+    for most in (graph.BROADCAST_EDGES, 3):
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", most)
+        ways = df.select("src", "dst")
+        assert (graph.share(ways) is None) == (most == 3)
+        assert sorted(map(tuple, graph.union_sizes(ways, table).collect())) == expected
+        assert sorted(map(tuple, graph.closure_sizes(ways, ways.selectExpr("dst as src"), back=True).collect())) == back
+        results.append(sorted(map(tuple, graph.closure(ways, ways.selectExpr("dst as src"), back=True).collect())))
+    assert results[0] == results[1]
+
+
+def test_a_long_chain_and_a_wide_cycle(spark):
+    links = [(f"c{i:05}", f"c{i + 1:05}") for i in range(5000)] + [(f"r{i:05}", f"r{(i + 1) % 5000:05}") for i in range(5000)]
+    df = spark.createDataFrame(links, "src string, dst string")
+    found = graph.components(df).collect()
+    assert len(found) == 5000 and {r.scc for r in found} == {"r00000"}
+    assert graph.closure(df, df.where("src in ('c00000', 'r00007')")).groupBy("src").count().collect() is not None
+    assert sorted(map(tuple, graph.closure_sizes(df, df.where("src in ('c00000', 'r00007')")).collect())) == [("c00000", 5000), ("r00007", 5000)]
+
+
 def test_empty_graph(spark):
     df = spark.createDataFrame([], "src string, dst string")
     assert graph.closure(df, df.select("src")).count() == 0

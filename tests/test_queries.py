@@ -22,7 +22,8 @@ def duck():
 
 def normal(df):
     columns = sorted(df.columns)
-    return columns, sorted(tuple(None if v is None or v != v else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
+    rows = [tuple(None if v is None or v != v else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False)]
+    return columns, sorted(rows, key=lambda row: tuple((v is None, v or "") for v in row))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
