@@ -75,7 +75,7 @@ class Analysis:
 
     @cached_property
     def scc(self) -> DataFrame:
-        return graph.components(graph.closure(self.links, self.links.select("src"))).persist()
+        return graph.components(self.links).persist()
 
     def cycles(self) -> DataFrame:
         return analyses.cycles(self.scc).join(analyses.shortest_cycles(self.links, self.scc), "scc").select("members", "size", "path").orderBy(F.desc("size"), "members")
@@ -105,13 +105,17 @@ class Analysis:
         sites = rewrite.scope(analyses.import_sites(self.imports.withColumn("type_only", F.lit(False)), self.barrels), only, barrel)
         some = analyses.site_symbols(sites, self.bindings.select("module", "ord", "bord", "imported"), self.verdicts)
         conflicts = rewrite.merge_conflicts(some, self.imports, self.bindings.select("module", "ord", "bord", "imported"))
-        return codemod.changes(w.files, w.imports, w.bindings, some, conflicts, w.aliases, self.config.codemod.import_style)
+        return codemod.changes(w.files, w.imports, w.bindings, some, conflicts, w.aliases, w.owners, self.config.codemod.import_style)
+
+    def warnings(self) -> DataFrame:
+        """Barrels whose worst import is amplified beyond the configured threshold, strictly."""
+        return self.barrel_amplification().where(F.col("max_amplification") > self.config.thresholds.max_amplification)
 
     def nodes(self, most: int | None = None) -> tuple[list[dict], list[dict]]:
         """Nodes and edges to draw: modules, or the deepest directories that are at most ``most``."""
         flag = lambda df, c, name: df.select(F.col(c).alias("path")).distinct().withColumn(name, F.lit(True))
         rows = self.modules.select("path").join(flag(self.barrels, "path", "is_barrel"), "path", "left").join(flag(self.scc, "node", "in_cycle"), "path", "left").na.fill(False, ["is_barrel", "in_cycle"])
-        shown = self.edges if self.types else self.edges.where("kind != 'typeOnly'")
+        shown = self.edges  # type edges too, in a style of their own
         if most is None or rows.count() <= most:
             ids = report.module_ids(rows).select("id", F.col("path").alias("label"), "is_barrel", "in_cycle")
         else:
@@ -123,52 +127,67 @@ class Analysis:
         drawn = shown.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind").orderBy("src", "dst", graph.kind_rank())
         return [r.asDict() for r in ids.orderBy(F.split("label", "/")).collect()], [r.asDict() for r in drawn.collect()]
 
-    def report(self, top: int | None = None) -> dict:
-        """The whole report as a dictionary; lists that a terminal would cut are cut at ``top`` where given."""
-        cut = lambda df: df if top is None else df.limit(top)
+    def _modules(self) -> DataFrame:
+        """Modules as the report lists them: id, path, directory, has_side_effects, barrel (null for others), in_cycle."""
+        barrel = self.barrels.select("path", F.struct("kind", "export_count", "reexport_count", "own_decl_count", "has_side_effects").alias("barrel"))
+        loop = self.scc.select(F.col("node").alias("path"), F.lit(True).alias("in_cycle")).distinct()
+        rows = self.modules.select("path", "has_side_effects").join(barrel, "path", "left").join(loop, "path", "left").na.fill(False, ["in_cycle"])
+        return report.module_ids(rows).select("id", "path", paths.directory_of("path").alias("directory"), "has_side_effects", "barrel", "in_cycle").orderBy(F.split("path", "/"))
+
+    def report(self) -> dict:
+        """The whole report as a dictionary. A report is as long as the workspace; what is drawn is bounded in ``nodes``."""
         sites = self.costs.withColumn("amplification", F.round("amplification", 6)).orderBy(F.desc("excess"), F.split("module", "/"), "ord")
-        projection = self.projection()
+        projection, w = self.projection(), self.workspace
         out = {
             "schemaVersion": SCHEMA_VERSION,
-            "modules": _rows(report.module_ids(self.modules.select("path")).select("id", "path")),
+            "includeTypeEdges": self.types,
+            "workspace": {"kind": w.kind, "packages": _rows(w.packages.select("root", "name", "tsconfig", F.col("side_effects_false").alias("side_effects_free"), "public_entrypoints").orderBy(F.split("root", "/")))} if w else None,
+            "modules": _rows(self._modules()),
             "edges": self.nodes()[1],
-            "barrels": _rows(cut(self.barrel_amplification())),
-            "sites": _rows(cut(sites)),
+            "barrels": _rows(self.barrel_amplification()),
+            "sites": _rows(sites),
             "skipCounts": _rows(analyses.skip_counts(self.symbols)),
             "cycles": _rows(self.cycles()),
-            "deadExports": _rows(cut(self.dead_exports())),
-            "fanIn": _rows(cut(self.fan("in"))),
-            "fanOut": _rows(cut(self.fan("out"))),
+            "deadExports": _rows(self.dead_exports()),
+            "fanIn": _rows(self.fan("in")),
+            "fanOut": _rows(self.fan("out")),
             "entrypoints": _rows(projection) if projection is not None else [],
             "danglingEdges": _rows(graph.dangling_edges(self.modules, self.imports.where("target not like '?%'"), self.exports.where("src is null or src not like '?%'"))),
+            "unresolved": _rows(w.unresolved) if w else [],
+            "externalPackages": [r.package for r in w.external_packages.collect()] if w else [],
+            "failures": _rows(w.failures) if w else [],
         }
-        if self.workspace:
-            out |= {"unresolved": _rows(self.workspace.unresolved), "externalPackages": [r.package for r in self.workspace.external_packages.collect()], "failures": _rows(self.workspace.failures)}
-        total = self.costs.agg(F.sum("excess").alias("t"), F.max("excess").alias("w"), F.count("*").alias("n")).first()
         out["summary"] = {
+            "filesAnalyzed": len(out["modules"]),
+            "packages": len(out["workspace"]["packages"]) if w else 0,
             "modules": len(out["modules"]),
             "edges": self.edges.count(),
-            "barrels": self.barrels.count(),
-            "sites": total.n,
-            "totalExcess": total.t or 0,
-            "worstExcess": total.w or 0,
+            "externalPackages": len(out["externalPackages"]),
+            "unresolvedSpecifiers": len(out["unresolved"]),
+            "parseFailures": len(out["failures"]),
             "cycles": len(out["cycles"]),
-            "deadExports": len(out["deadExports"]) if top is None else self.dead_exports().count(),
-            "unresolved": len(out.get("unresolved", [])),
-            "failures": len(out.get("failures", [])),
+            "deadExports": len(out["deadExports"]),
+            "classifiedBarrels": sum(m["barrel"] is not None for m in out["modules"]),
+            "importedBarrels": len(out["barrels"]),
+            "sites": len(out["sites"]),
+            "totalExcess": sum(s["excess"] for s in out["sites"]),
+            "worstExcess": max((s["excess"] for s in out["sites"]), default=0),
         }
         return out
 
     def render(self, format: str, most: int = 150) -> str:
-        if format == "json":
-            return render.to_json(self.report())
-        if format == "terminal":
-            return render.to_terminal(self.report())
-        nodes, edges = self.nodes(most if format == "html" else None)
-        if format == "html":
-            return render.to_html(self.report(), nodes, edges)  # ``most`` bounds the drawing alone
-        return {"dot": render.to_dot, "mermaid": render.to_mermaid}[format](nodes, edges)
-
+        return rendered(format, self.report() if format in ("json", "terminal", "html") else None, self.nodes(most) if format in ("html", "dot", "mermaid") else None)
+
+
+def rendered(format: str, whole: dict | None, drawn: tuple[list[dict], list[dict]] | None) -> str:
+    """A report, or what is drawn of it, in one of the formats; ``most`` nodes bound the drawing alone."""
+    if format == "json":
+        return render.to_json(whole)
+    if format == "terminal":
+        return render.to_terminal(whole)
+    if format == "html":
+        return render.to_html(whole, *drawn)
+    return {"dot": render.to_dot, "mermaid": render.to_mermaid}[format](*drawn)
 
 
 __all__ = ["Analysis", "Config", "Workspace", "paths"]

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from modweave.api import Analysis
+from modweave.api import Analysis, rendered
 from modweave.functions import render
 from modweave.operators.resolution import glob_pattern
 from modweave.plans import codemod
@@ -79,16 +79,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             (out / f"report.{SUFFIX[args.format]}").write_text(text)
         return 0
     if args.command == "barrels":
-        rows = Analysis.from_workspace(work).barrel_amplification().where(F.col("max_amplification") >= args.min_amplification).collect()
-        print(render.table("Barrels", ["barrel", "sites", "cost", "excess", "worst"], [[r.barrel, r.site_count, r.actual_cost, r.total_excess, r.max_amplification] for r in rows]))
+        found = Analysis.from_workspace(work)  # type edges are always off here
+        rows = [b for b in _report(args, found, work, cache)["barrels"] if b["maxAmplification"] >= args.min_amplification]
+        print(render.table("Barrels", ["barrel", "sites", "cost", "excess", "worst"], [[b["barrel"], b["siteCount"], b["actualCost"], b["totalExcess"], b["maxAmplification"]] for b in rows]))
+        over = [b["barrel"] for b in rows if b["maxAmplification"] > config.thresholds.max_amplification]
+        if over:
+            print(f"warning: amplified more than {config.thresholds.max_amplification:g} times: {', '.join(over)}", file=sys.stderr)
         return 0
     if args.command == "cycles":
-        rows = found.cycles().collect()
-        print(render.table("Cycles", ["size", "shortest"], [[r["size"], " -> ".join(r.path)] for r in rows]))
+        rows = _report(args, found, work, cache)["cycles"]
+        print(render.table("Cycles", ["size", "shortest"], [[c["size"], " -> ".join(c["path"])] for c in rows]))
         return int(len(rows) > config.thresholds.max_cycles)
     if args.command == "dead-exports":
-        rows = found.dead_exports().collect()
-        print(render.table("Dead exports", ["module", "name", "confidence"], [[r.module, r.name, "low" if r.low_confidence else "high"] for r in rows]))
+        rows = _report(args, found, work, cache)["deadExports"]
+        print(render.table("Dead exports", ["module", "name", "confidence"], [[d["module"], d["name"], "low" if d["lowConfidence"] else "high"] for d in rows]))
         return 0
     rows = found.plan(glob_pattern(args.only) if args.only else None, args.barrel).orderBy(F.split("path", "/")).collect()
     changes = [codemod.Change(r.path, bytes(r.original), bytes(r.rewritten)) for r in rows]
@@ -101,22 +105,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return int(args.check and bool(changes))
 
 
-def _analyzed(args, found: Analysis, work: Workspace, cache: Path) -> str:
-    """The rendered analysis; kept by fingerprint, format and flags, best effort."""
-    file = cache / f"{work.fingerprint}-{args.format}-{args.max_nodes}-{int(args.include_type_edges)}.json"
+def _kept(args, work: Workspace, cache: Path, name: str, compute):
+    """What ``compute`` gives, kept by the workspace's fingerprint and ``name``; a file that cannot be read or written counts as a miss."""
+    file = cache / f"{work.fingerprint}-{name}.json"
     if not args.no_cache:
         try:
             return json.loads(file.read_text())
         except (OSError, ValueError):
             pass
-    text = found.render(args.format, args.max_nodes)
+    value = json.loads(json.dumps(compute()))
     if not args.no_cache:
         try:
             cache.mkdir(parents=True, exist_ok=True)
-            file.write_text(json.dumps(text))
+            file.write_text(json.dumps(value))
         except OSError:
             pass
-    return text
+    return value
+
+
+def _report(args, found: Analysis, work: Workspace, cache: Path) -> dict:
+    """The analysis, which all commands and formats share."""
+    return _kept(args, work, cache, f"report-{int(found.types)}", found.report)
+
+
+def _analyzed(args, found: Analysis, work: Workspace, cache: Path) -> str:
+    whole = _report(args, found, work, cache) if args.format in ("json", "terminal", "html") else None
+    drawn = _kept(args, work, cache, f"nodes-{int(found.types)}-{args.max_nodes}", lambda: found.nodes(args.max_nodes)) if args.format in ("html", "dot", "mermaid") else None
+    return rendered(args.format, whole, drawn)
 
 
 if __name__ == "__main__":

@@ -97,11 +97,28 @@ def percent(part: int, whole: int) -> str:
     return f"{100 * part / whole if whole else 0:.0f}%"
 
 
+# What a reader sees of the summary, in order.
+SUMMARY = {
+    "filesAnalyzed": "files analyzed", "packages": "packages", "modules": "modules", "edges": "edges", "externalPackages": "external packages",
+    "unresolvedSpecifiers": "unresolved specifiers", "cycles": "cycles", "deadExports": "dead exports",
+}
+
+
 def to_terminal(report: dict) -> str:
+    """Tables of the report, those with rows; each is cut at its first rows and tells how many more there are."""
     worst = [s for s in report["sites"] if s["excess"] > 0]
-    out = ["  ".join(f"{k}: {v}" for k, v in report["summary"].items()) + "\n"]
-    out.append(table("Barrels", ["barrel", "sites", "cost", "excess", "worst"], [[b["barrel"], b["siteCount"], b["actualCost"], b["totalExcess"], b["maxAmplification"]] for b in report["barrels"]]))
-    out.append(table("Worst imports", ["importer", "barrel", "cost", "minimal"], [[s["module"], s["target"], s["actualCost"], s["minimalCost"]] for s in worst]))
-    if report["entrypoints"]:
-        out.append(table("Entrypoints", ["entrypoint", "before", "after", "removed"], [[e["entrypoint"], e["before"], e["after"], f"{e['removed']} ({percent(e['removed'], e['before'])})"] for e in report["entrypoints"]]))
-    return "\n".join(out)
+    fan = lambda rows: [[f["path"], f["direct"], f["transitive"]] for f in rows]
+    sections = [
+        ("Summary", ["metric", "value"], [[label, report["summary"][key]] for key, label in SUMMARY.items()]),
+        ("Unresolved", ["specifier", "imported from"], [[u["specifier"], u["importer"]] for u in report["unresolved"]]),
+        ("Failures", ["file", "error"], [[f["path"], e] for f in report["failures"] for e in f["errors"]]),
+        ("Barrels", ["barrel", "sites", "cost", "excess", "worst"], [[b["barrel"], b["siteCount"], b["actualCost"], b["totalExcess"], b["maxAmplification"]] for b in report["barrels"]]),
+        ("Worst imports", ["importer", "barrel", "cost", "minimal"], [[s["module"], s["target"], s["actualCost"], s["minimalCost"]] for s in worst]),
+        ("Skipped symbols", ["reason", "symbols"], [[s["reason"], s["n"]] for s in report["skipCounts"]]),
+        ("Entrypoints", ["entrypoint", "before", "after", "removed"], [[e["entrypoint"], e["before"], e["after"], f"{e['removed']} ({percent(e['removed'], e['before'])})"] for e in report["entrypoints"]]),
+        ("Cycles", ["size", "shortest"], [[c["size"], " -> ".join(c["path"])] for c in report["cycles"]]),
+        ("Dead exports", ["module", "name", "confidence"], [[d["module"], d["name"], "low" if d["lowConfidence"] else "high"] for d in report["deadExports"]]),
+        ("Fan-in", ["module", "direct", "transitive"], fan(report["fanIn"])),
+        ("Fan-out", ["module", "direct", "transitive"], fan(report["fanOut"])),
+    ]
+    return "\n".join(table(*section) for section in sections if section[2])

@@ -52,11 +52,16 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def wanted(include: list[str], exclude: list[str], path: str = "path"):
+    """Whether an include glob matches (source files, if none is given) and no exclude glob."""
+    globs = [glob_pattern(g) for g in include] or [rf"\.({'|'.join(SOURCES)})$"]
+    out = F.col(path).rlike("|".join(globs))
+    return out & ~F.col(path).rlike("|".join(map(glob_pattern, exclude))) if exclude else out
+
+
 def glob_filter(files: DataFrame, include: list[str], exclude: list[str], path: str = "path") -> DataFrame:
     """Files that an include glob matches (source files, if none is given) and no exclude glob."""
-    wanted = [glob_pattern(g) for g in include] or [rf"\.({'|'.join(SOURCES)})$"]
-    out = files.where(F.col(path).rlike("|".join(wanted)))
-    return out.where(~F.col(path).rlike("|".join(map(glob_pattern, exclude)))) if exclude else out
+    return files.where(wanted(include, exclude, path))
 
 
 def owning_package(files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -138,27 +143,78 @@ def classify(path: str = "path", root: str = ""):
     return F.when(package_name(path).isNotNull(), "external").when(F.startswith(path, F.lit(root)), "internal").otherwise("external")
 
 
-def resolve(requests: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def package_files(requests: DataFrame, entries: DataFrame, files: DataFrame) -> DataFrame:
+    """``requests`` (importer, specifier) whose package is known, with (installed, package, path; null if nothing is there).
+
+    ``entries`` (dir, name, installed, sub, target, nth) say what a package's subpaths lead to, ``.`` being the package
+    itself; both may hold one ``*``. The nearest node_modules directory that holds the package counts, else the package of the
+    workspace with that name. Of its entries an exact subpath beats patterns and a longer prefix a shorter one; of several
+    targets the first that is a file is taken.
+    """
+    name = F.regexp_extract("specifier", "^((?:@[^/]+/)?[^/]+)", 1)
+    asked = requests.select("importer", "specifier", name.alias("package")).distinct()
+    asked = asked.withColumn("asked", F.concat(F.lit("."), F.expr("substring(specifier, length(package) + 1)")))
+    known = entries.select("dir", "name", "installed").distinct()
+    up = asked.select("*", F.posexplode(paths.ancestors(paths.directory_of("importer"))).alias("away", "at"))
+    above = F.when(F.col("at").isin("", "."), F.lit("")).otherwise(F.concat("at", F.lit("/")))
+    near = up.withColumn("dir", F.concat(above, F.lit("node_modules/"), "package")).join(known.where("installed").select("dir", "installed"), "dir")
+    linked = asked.join(known.where("not installed").select(F.col("name").alias("package"), "dir", "installed"), "package").withColumn("away", F.lit(1 << 20))
+    both = near.select("importer", "specifier", "package", "asked", "dir", "installed", "away").unionByName(linked.select("importer", "specifier", "package", "asked", "dir", "installed", "away"))
+    one = both.groupBy("importer", "specifier", "package", "asked").agg(F.min(F.struct("away", "dir", "installed")).alias("x")).select("importer", "specifier", "package", "asked", "x.dir", "x.installed")
+    pre, post = F.substring_index("sub", "*", 1), F.substring_index("sub", "*", -1)
+    star = F.contains("sub", F.lit("*"))
+    fits = F.when(star, F.startswith("asked", pre) & F.endswith("asked", post) & (F.length("asked") >= F.length(pre) + F.length(post))).otherwise(F.col("asked") == F.col("sub"))
+    middle = F.expr("substring(asked, length(substring_index(sub, '*', 1)) + 1, length(asked) - length(sub) + 1)")
+    found = one.join(entries.select("dir", "sub", "target", "nth"), "dir").where(fits)
+    found = found.withColumn("rank", F.struct((~star).alias("exact"), F.length(pre).alias("pre"))).withColumn("target", F.when(star, F.replace("target", F.lit("*"), middle)).otherwise(F.col("target")))
+    best = found.groupBy("importer", "specifier").agg(F.max("rank").alias("most"))
+    found = found.join(best, ["importer", "specifier"]).where("rank = most").withColumn("base", paths.normalize(F.concat("dir", F.lit("/"), "target")))
+    hit = probe(found.select("importer", "specifier", "nth", "base"), files).where("path is not null").groupBy("importer", "specifier").agg(F.min_by("path", "nth").alias("path"))
+    return one.select("importer", "specifier", "installed", "package").join(hit, ["importer", "specifier"], "left")
+
+
+def resolve(requests: DataFrame, files: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """``requests`` (importer, specifier) with kind (internal, external, builtin, unresolved), path and package.
 
-    Builtins first, relative specifiers by probing, then aliases, then packages: a bare specifier that no alias maps to
-    a file is external if node_modules holds its package, else unresolved.
+    Builtins first, relative specifiers by probing, then aliases (of the request's root, where there is one), then packages: a
+    bare specifier that no alias maps to a file is external if node_modules holds its package, internal where a package of the
+    workspace leads to a file, else unresolved.
     """
-    requests = requests.select("importer", "specifier").distinct().withColumn("builtin", is_builtin())
+    requests = requests.distinct().withColumn("builtin", is_builtin())
     relative = requests.where("not builtin and specifier rlike '^[.]{1,2}(/|$)'").withColumn("base", joined_path())
     hit = probe(relative, files).select("importer", "specifier", "path")
-    bare = requests.where("not builtin and not specifier rlike '^[.]{1,2}(/|$)'")
+    bare = requests.where("not builtin and not specifier rlike '^[.]{1,2}(/|$)'").drop("builtin")
     if aliases is not None:
         hit = hit.unionByName(alias_files(bare, aliases, files))
-    installed = files.where(F.contains("path", F.lit("node_modules/"))).select(package_name().alias("package")).distinct()
+    rest = bare.select("importer", "specifier").join(hit.select("importer", "specifier"), ["importer", "specifier"], "left_anti")
     name = F.regexp_extract("specifier", "^((?:@[^/]+/)?[^/]+)", 1)
-    rest = bare.join(hit.select("importer", "specifier"), ["importer", "specifier"], "left_anti").withColumn("package", name)
-    known = rest.join(installed, "package", "left_semi")
-    lost = rest.join(installed, "package", "left_anti")
-    row = lambda kind, path=None, package=None: [F.col("importer"), F.col("specifier"), kind.alias("kind"), (F.lit(None).cast("string") if path is None else path).alias("path"), (F.lit(None).cast("string") if package is None else package).alias("package")]
-    found = hit.select(*row(F.when(F.col("path").isNull(), "unresolved").otherwise(classify()), F.col("path"), package_name()))
+    if entries is not None:
+        rest = rest.join(package_files(rest, entries, files), ["importer", "specifier"], "left")
+    else:
+        rest = rest.select("*", F.lit(None).cast("boolean").alias("installed"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("path"))
+    installed = files.where(F.contains("path", F.lit("node_modules/"))).select(package_name().alias("__held")).distinct()
+    rest = rest.withColumn("__name", name).join(installed, F.col("__name") == F.col("__held"), "left")
+    outside = F.col("__held").isNotNull() & ~F.col("installed").eqNullSafe(False)
+    kind = F.when(outside, "external").when(F.col("path").isNotNull(), classify()).otherwise("unresolved")
+    none = F.lit(None).cast("string")
+    found = hit.select("importer", "specifier", F.when(F.col("path").isNull(), "unresolved").otherwise(classify()).alias("kind"), "path", package_name().alias("package"))
     return (
-        found.unionByName(requests.where("builtin").select(*row(F.lit("builtin"))))
-        .unionByName(known.select(*row(F.lit("external"), None, F.col("package"))))
-        .unionByName(lost.select(*row(F.lit("unresolved"))))
+        found.unionByName(requests.where("builtin").select("importer", "specifier", F.lit("builtin").alias("kind"), none.alias("path"), none.alias("package")))
+        .unionByName(rest.select("importer", "specifier", kind.alias("kind"), F.when(kind == "internal", F.col("path")).alias("path"), F.when(outside, F.col("__name")).alias("package")))
     )
+
+
+def ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path) of the files that ignore rules (dir, nth, pattern, negated, only_dir) leave out.
+
+    A rule of a directory holds below it; ``pattern`` is a regular expression on the path from there. The last rule that
+    matches decides, those of deeper directories being later; nothing below a directory that is left out comes back.
+    """
+    whole = files.select("path").distinct()
+    up = whole.select("path", F.posexplode(paths.ancestors("path")).alias("up", "at")).where("at != ''")
+    tried = up.select("at", (F.col("up") > 0).alias("is_dir")).distinct()
+    inside = tried.select("at", "is_dir", F.explode(F.slice(paths.ancestors("at"), 2, 1 << 20)).alias("dir")).join(rules, "dir")
+    rest = F.when(F.col("dir") == "", F.col("at")).otherwise(F.expr("substring(at, length(dir) + 2)"))
+    matched = inside.withColumn("rest", rest).where("rest rlike pattern and (is_dir or not only_dir)")
+    last = matched.groupBy("at", "is_dir").agg(F.max_by("negated", F.struct(F.length("dir"), "nth")).alias("negated")).where("not negated")
+    return up.select("path", "at", (F.col("up") > 0).alias("is_dir")).join(last.select("at", "is_dir"), ["at", "is_dir"], "left_semi").select("path").distinct()

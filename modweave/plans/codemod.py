@@ -92,11 +92,12 @@ def rewritten(content: bytes, plan: list[dict]) -> bytes:
     return apply_edits(content, changes)
 
 
-def changes(files: DataFrame, imports: DataFrame, bindings: DataFrame, symbols: DataFrame, conflicts: DataFrame, aliases: DataFrame, style: str = "preserve") -> DataFrame:
+def changes(files: DataFrame, imports: DataFrame, bindings: DataFrame, symbols: DataFrame, conflicts: DataFrame, aliases: DataFrame, owners: DataFrame, style: str = "preserve") -> DataFrame:
     """(path, original, rewritten) of files that the plan changes.
 
     A statement is rewritten whole or not at all. Specifiers are aliases where the style (alias, or by the module's
-    majority) asks for one and a rule fits, the shortest first; else relative, with .js and its like where the module writes them.
+    majority) asks for one and a rule of the module's package (``owners``: path, root) fits, the shortest first; else relative,
+    with .js and its like where the module writes them.
     """
     stay = rewrite.statement_skips(symbols).select("module", "ord").unionByName(conflicts)
     picked = symbols.join(stay, ["module", "ord"], "left_anti").where("skip is null")
@@ -105,11 +106,16 @@ def changes(files: DataFrame, imports: DataFrame, bindings: DataFrame, symbols:
     votes = rewrite.style_vote(imports.where("not startswith(target, 'ext:') and not startswith(target, '?')").select("module", "ord", "specifier"))
     relative = paths.relative_specifier("module", "def_module")
     suffix = F.regexp_extract("specifier", r"(\.[cm]?js)$", 1)
-    rules = aliases.select(F.substring_index("pattern", "*", 1).alias("pre"), F.substring_index("target", "*", 1).alias("dir")).where("pre != ''").distinct()
-    fits = picked.select("def_module").distinct().join(rules, F.startswith("def_module", F.col("dir")))
+    rules = aliases.select("root", F.substring_index("pattern", "*", 1).alias("pre"), F.substring_index("target", "*", 1).alias("dir")).where("pre != ''").distinct()
+    asked = picked.select("module", "def_module").distinct().join(owners.select(F.col("path").alias("module"), "root"), "module")
+    # a rule's directory is one of those above the file that it names
+    above = asked.select("*", F.explode(paths.ancestors("def_module")).alias("up")).withColumn("dir", F.when(F.col("up") == "", "").otherwise(F.concat("up", F.lit("/"))))
+    fits = above.join(rules.where("dir = '' or endswith(dir, '/')"), ["root", "dir"])
+    other = rules.where("dir != '' and not endswith(dir, '/')")
+    fits = fits.select("module", "def_module", "pre", "dir").unionByName(asked.join(other, (asked["root"] == other["root"]) & F.startswith("def_module", F.col("dir"))).select("module", "def_module", "pre", "dir"))
     alias = F.concat("pre", F.expr("substring(regexp_replace(def_module, '(/index)?[.](d[.]ts|[cm]?[jt]sx?)$', ''), length(dir) + 1)"))
-    short = fits.groupBy("def_module").agg(F.min(F.struct(F.length(alias), alias)).alias("a")).select("def_module", F.col("a.col2").alias("alias"))
-    picked = picked.join(votes, "module", "left").join(short, "def_module", "left")
+    short = fits.groupBy("module", "def_module").agg(F.min(F.struct(F.length(alias), alias)).alias("a")).select("module", "def_module", F.col("a.col2").alias("alias"))
+    picked = picked.join(votes, "module", "left").join(short, ["module", "def_module"], "left")
     want = F.lit(style) if style != "preserve" else F.col("style")
     specifier = F.when((want == "alias") & F.col("alias").isNotNull(), F.col("alias")).otherwise(F.concat(relative, suffix))
     there = imports.groupBy("module", F.col("target").alias("def_module")).agg(F.collect_set("specifier").alias("anchor"))

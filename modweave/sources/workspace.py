@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -61,6 +62,129 @@ def read_manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+# Conditions of an exports map that hold, and fields that name a package's main file, in order.
+CONDITIONS = ("import", "module", "browser", "default")
+MAIN_FIELDS = ("module", "browser", "main")
+
+
+def condition_target(value, conditions: frozenset[str]) -> str | None:
+    """The first target of an exports value whose conditions hold, in the order that the manifest writes them."""
+    if isinstance(value, str):
+        return value if value.startswith("./") else None
+    if isinstance(value, dict):
+        value = [v for k, v in value.items() if k in conditions]
+    for v in value if isinstance(value, list) else []:
+        found = condition_target(v, conditions)
+        if found is not None:
+            return found
+    return None
+
+
+def subpaths(manifest: dict, conditions: frozenset[str]) -> list[tuple[str, str]]:
+    """(subpath, target) of a package: its exports map, or else its main files and everything below it."""
+    exports = manifest.get("exports")
+    if exports is None:
+        mains = [manifest[f] for f in MAIN_FIELDS if isinstance(manifest.get(f), str)]
+        return [*((".", m) for m in mains), (".", "index"), ("./*", "*")]
+    if not isinstance(exports, dict) or not any(k.startswith(".") for k in exports):
+        exports = {".": exports}
+    found = [(sub, condition_target(value, conditions)) for sub, value in exports.items()]
+    return [(sub, target) for sub, target in found if target is not None]
+
+
+def _entries(conditions: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for directory, text in zip(batch.column("dir").to_pylist(), batch.column("text").to_pylist()):
+                manifest = _json(text)
+                name = manifest.get("name") if isinstance(manifest.get("name"), str) else None
+                out += [(directory, name, sub, target, nth) for nth, (sub, target) in enumerate(subpaths(manifest, conditions))]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["dir", "name", "sub", "target", "nth"])
+
+    return run
+
+
+def _beside(path: str, other: str) -> str | None:
+    """The path that ``other`` means in the file ``path``; null outside the tree."""
+    found = posixpath.normpath(posixpath.join(posixpath.dirname(path), other))
+    return None if found.startswith("..") else found.lstrip("/")
+
+
+_REFERENCE = 1000  # places from which on a configuration is referenced, not extended
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What configurations (root, place, path, text) extend or refer to: candidates (root, place, rank, path)."""
+    for batch in batches:
+        out = []
+        for root, place, path, text in zip(*(batch.column(c).to_pylist() for c in ("root", "place", "path", "text"))):
+            config = _json(text)
+            extended = config.get("extends") or []
+            extended = [extended] if isinstance(extended, str) else extended
+            for k, name in enumerate(reversed([e for e in extended if isinstance(e, str)])):  # later ones win
+                if name.startswith("."):
+                    tried = [_beside(path, name), _beside(path, f"{name}.json"), _beside(path, f"{name}/tsconfig.json")]
+                else:
+                    up = posixpath.dirname(path).split("/")
+                    above = ["/".join([*up[:n], "node_modules", name]).lstrip("/") for n in range(len(up), -1, -1)]
+                    tried = [f"{a}{end}" for a in above for end in ("", ".json", "/tsconfig.json")]
+                out += [(root, [*place, 1 + k], rank, t) for rank, t in enumerate(tried) if t]
+            for k, other in enumerate(config.get("references") or []):
+                if isinstance(other, dict) and isinstance(other.get("path"), str):
+                    tried = [_beside(path, other["path"]), _beside(path, f"{other['path']}/tsconfig.json")]
+                    out += [(root, [*place, _REFERENCE + k], rank, t) for rank, t in enumerate(tried) if t]
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["root", "place", "rank", "path"])
+
+
+def _alias_rules(table: pa.Table) -> pa.Table:
+    """Rules (root, pattern, target, nth) of one package from its configurations (root, place, path, text), nearest first."""
+    units: dict[tuple, dict] = {}
+    for row in sorted(table.to_pylist(), key=lambda r: r["place"]):
+        unit = tuple(row["place"][: max([0, *(i + 1 for i, k in enumerate(row["place"]) if k >= _REFERENCE)])])
+        options = _json(row["text"]).get("compilerOptions")
+        options, found = options if isinstance(options, dict) else {}, units.setdefault(unit, {})
+        here = posixpath.dirname(row["path"])
+        if "base" not in found and isinstance(options.get("baseUrl"), str):
+            found["base"] = posixpath.join(here, options["baseUrl"])
+        if "paths" not in found and isinstance(options.get("paths"), dict):
+            found["paths"], found["here"] = options["paths"], here
+    out = []
+    for k, found in enumerate(units.values()):
+        base = found.get("base", found.get("here"))
+        for pattern, targets in found.get("paths", {}).items():
+            out += [(pattern, posixpath.join(base, t), (k << 12) + nth) for nth, t in enumerate(targets if isinstance(targets, list) else []) if isinstance(t, str)]
+        if "base" in found:
+            out.append(("*", posixpath.join(base, "*"), 1 << 20))  # after the targets that paths gives to "*"
+    kinds = (pa.string(), pa.string(), pa.int32())
+    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    return pa.table([pa.array([table.column("root")[0].as_py()] * len(out), pa.string()), *columns], ["root", "pattern", "target", "nth"])
+
+
+def _ignore_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of ignore files (dir, text) as rules (dir, nth, pattern, negated, only_dir)."""
+    for batch in batches:
+        out = []
+        for directory, text in zip(batch.column("dir").to_pylist(), batch.column("text").to_pylist()):
+            for nth, line in enumerate((text or "").splitlines()):
+                line = line.rstrip()
+                negated = line.startswith("!")
+                body = line[negated:].removeprefix("\\").rstrip("/")
+                if not body.strip("/") or line.startswith("#"):
+                    continue
+                anchored = "/" in body
+                pattern = resolution.glob_pattern(body.lstrip("/"))[1:-1]
+                out.append((directory, nth, ("^" if anchored else "^(?:.*/)?") + pattern + "$", negated, line.endswith("/")))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["dir", "nth", "pattern", "negated", "only_dir"])
+
+
+def _directory(path: str = "path"):
+    return F.when(paths.directory_of(path) == ".", "").otherwise(paths.directory_of(path))
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -107,26 +231,17 @@ class Workspace:
         rows = [(p, bytearray(t.encode())) for p, t in files.items()]
         return cls(spark, spark.createDataFrame(rows, "path string, content binary"), config)
 
-    @cached_property
-    def ignored(self) -> str | None:
-        """One regular expression of the root's .gitignore: names at any depth, anchored paths, directories."""
-        row = self.everything.where("path = '.gitignore'").first()
-        rules = []
-        for line in bytes(row.content).decode("utf-8", "replace").splitlines() if row else []:
-            line = line.strip()
-            if not line or line.startswith(("#", "!")):
-                continue
-            body = resolution.glob_pattern(line.strip("/"))[1:-1]
-            rules.append(("^" if "/" in line.rstrip("/") else "(?:^|/)") + body + ("/" if line.endswith("/") else "(?:/|$)"))
-        return "|".join(rules) or None
-
     @cached_property
     def files(self) -> DataFrame:
-        """Files outside pruned and ignored directories, with content."""
-        out = resolution.prune(self.everything)
-        if self.ignored:
-            out = out.where(~F.col("path").rlike(self.ignored))
-        return cut(out)
+        """Files outside pruned and ignored directories that anything here reads, with content."""
+        kept = resolution.prune(self.everything)
+        written = kept.where(paths.file_name("path") == ".gitignore").select(_directory().alias("dir"), F.decode("content", "utf-8").alias("text"))
+        rules = cut(written.mapInArrow(_ignore_rules, "dir string, nth int, pattern string, negated boolean, only_dir boolean"))
+        if rules.limit(1).count():
+            kept = kept.join(resolution.ignored(kept, rules), "path", "left_anti")
+        name = paths.file_name("path")
+        needed = name.isin(*LOCKFILES, ".gitignore", "pnpm-workspace.yaml", "pnpm-workspace.yml") | F.endswith(name, F.lit(".json"))
+        return cut(kept.where(needed | resolution.wanted(self.config.include, self.config.exclude)))
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -163,14 +278,20 @@ class Workspace:
     def facts(self) -> DataFrame:
         return cut(self.sources.select("path", "content").mapInArrow(_facts, FACTS))
 
+    @cached_property
+    def owners(self) -> DataFrame:
+        """(path, root) of each module and the package that it belongs to."""
+        return cut(resolution.owning_package(self.facts.select("path"), self.packages))
+
     @cached_property
     def modules(self) -> DataFrame:
-        owned = resolution.owning_package(self.facts.select("path"), self.packages).join(self.packages.select("root", "side_effects_false"), "root")
+        owned = self.owners.join(self.packages.select("root", "side_effects_false"), "root")
         return self.facts.select("path", "has_side_effects", "own_decls").join(owned.select("path", F.col("side_effects_false").alias("package_side_effects_free")), "path")
 
     @cached_property
     def failures(self) -> DataFrame:
-        return self.facts.where(F.size("errors") > 0).select("path", F.element_at("errors", 1).alias("message"))
+        """(path, message, errors) of files with errors: the first one and all of them."""
+        return self.facts.where(F.size("errors") > 0).select("path", F.element_at("errors", 1).alias("message"), "errors").orderBy(F.split("path", "/"))
 
     @cached_property
     def import_facts(self) -> DataFrame:
@@ -184,42 +305,41 @@ class Workspace:
         both = self.import_facts.select(F.col("module").alias("importer"), "specifier").unionByName(self.facts.select(F.col("path").alias("importer"), F.explode("exports").alias("e")).where("e.src is not null").select("importer", F.col("e.src").alias("specifier")))
         return both.distinct()
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """(dir, name, installed, sub, target, nth): what the subpaths of installed and of the workspace's packages lead to."""
+        manifests = self.everything.where(paths.file_name("path") == "package.json")
+        installed = F.contains("path", F.lit("node_modules/"))
+        own = resolution.prune(manifests.where(~installed)).join(self.files.select("path"), "path", "left_semi")
+        read = manifests.where(installed).unionByName(own).select(_directory().alias("dir"), F.decode("content", "utf-8").alias("text"))
+        conditions = frozenset([*self.config.resolve.conditions, *CONDITIONS])
+        rows = read.mapInArrow(_entries(conditions), "dir string, name string, sub string, target string, nth int")
+        return cut(rows.withColumn("installed", F.contains("dir", F.lit("node_modules/"))))
+
     @cached_property
     def aliases(self) -> DataFrame:
-        """(root, pattern, target, nth) of each package's nearest tsconfig: paths below baseUrl, all targets of a pattern in order."""
-        rows = self.packages.where("tsconfig is not null").select("root", F.col("tsconfig").alias("path")).join(self.files, "path").select("root", "path", F.decode("content", "utf-8").alias("text"))
-
-        def rules(batches):
-            for batch in batches:
-                out = []
-                for root, path, text in zip(*(batch.column(c).to_pylist() for c in ("root", "path", "text"))):
-                    options = _json(text).get("compilerOptions") or {}
-                    here = path.rpartition("/")[0]
-                    base = "/".join(p for p in (here, (options.get("baseUrl") or ".")) if p)
-                    for pattern, targets in (options.get("paths") or {}).items():
-                        out += [(root, pattern, f"{base}/{t}", k) for k, t in enumerate(targets)]
-                    if "baseUrl" in options:
-                        out.append((root, "*", f"{base}/*", 1 << 20))  # after the targets that paths gives to "*"
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["root", "pattern", "target", "nth"])
-
-        found = rows.mapInArrow(rules, "root string, pattern string, target string, nth int")
-        return found.withColumn("target", paths.normalize("target"))
+        """(root, pattern, target, nth) of each package's nearest tsconfig and what it extends or refers to: paths below baseUrl,
+        all targets of a pattern in order."""
+        texts = self.everything.where(F.endswith("path", F.lit(".json"))).select("path", F.decode("content", "utf-8").alias("text"))
+        wanted = self.packages.where("tsconfig is not null").select("root", F.expr("cast(array() as array<int>)").alias("place"), F.lit(0).alias("rank"), F.col("tsconfig").alias("path"))
+        every = None
+        while True:
+            found = wanted.join(texts.select("path"), "path", "left_semi").groupBy("root", "place").agg(F.min_by("path", "rank").alias("path"))
+            if every is not None:  # a configuration counts once, where it is nearest
+                found = found.join(every.select("root", "path"), ["root", "path"], "left_anti").groupBy("root", "path").agg(F.min("place").alias("place"))
+            new = cut(found.join(texts, "path").select("root", "place", "path", "text"))
+            every = new if every is None else every.unionByName(new)
+            if not new.limit(1).count():
+                break
+            wanted = new.mapInArrow(_wanted, "root string, place array<int>, rank int, path string")
+        found = every.groupBy("root").applyInArrow(_alias_rules, "root string, pattern string, target string, nth int")  # a handful per package
+        return cut(found.withColumn("target", paths.normalize("target")))
 
     @cached_property
     def resolutions(self) -> DataFrame:
         """(importer, specifier, kind, path, package)."""
-        owned = resolution.owning_package(self.facts.select("path"), self.packages).select(F.col("path").alias("importer"), F.col("root"))
-        asked = self.specifiers.join(owned, "importer")
-        rules = cut(self.aliases)
-        bare = asked.where("not specifier rlike '^[.]{1,2}(/|$)'")
-        plain = resolution.resolve(self.specifiers, self.everything.select("path"))
-        if not rules.limit(1).count():
-            return cut(plain)
-        hit = resolution.alias_files(bare, rules, self.everything.select("path")).withColumnRenamed("path", "mapped")
-        lost = (F.col("kind") == "unresolved") & F.col("mapped").isNotNull()
-        out = plain.join(hit, ["importer", "specifier"], "left").withColumn("kind", F.when(lost, "internal").otherwise(F.col("kind"))).withColumn("path", F.coalesce("path", F.when(lost | (F.col("kind") == "internal"), F.col("mapped"))))
-        return cut(out.drop("mapped"))
+        owned = self.owners.select(F.col("path").alias("importer"), "root")
+        return cut(resolution.resolve(self.specifiers.join(owned, "importer"), self.everything.select("path"), self.aliases, self.entries))
 
     def _target(self):
         """What a resolution is called in the graph: the path, ``ext:<package>``, or null where it leads nowhere."""

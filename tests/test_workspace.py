@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from modweave.api import Analysis
 from modweave.cli import main
-from modweave.sources.config import Config
+from modweave.sources.config import Config, Resolve
 from modweave.sources.workspace import Workspace
 
 PURE = {
@@ -101,6 +101,108 @@ def test_alias_rules_hold_for_their_own_package(spark):
     }
 
 
+def resolved(w):
+    return {(r.importer, r.specifier): (r.kind, r.path or r.package) for r in w.resolutions.collect()}
+
+
+CONDITIONED = {
+    "package.json": "{}",
+    "packages/app/src/main.ts": "import { a } from '@fixture/lib'; import { h } from '@fixture/lib/helper'; import no from '@fixture/lib/hidden';",
+    "packages/app/package.json": '{"name": "app"}',
+    "packages/lib/package.json": '{"name": "@fixture/lib", "exports": {".": {"@fixture/source": "./src/index.ts", "import": "./dist/index.js", "default": "./dist/index.js"}, "./*": {"node": "./gone/*.ts", "default": "./src/*.ts"}, "./hidden": null}}',
+    "packages/lib/src/index.ts": "export const a = 1",
+    "packages/lib/src/helper.ts": "export const h = 1",
+    "packages/lib/src/hidden.ts": "export default 1",
+}
+
+
+def test_export_conditions(spark):
+    main = "packages/app/src/main.ts"
+    for conditions, kind in (([], ("unresolved", None)), (["@fixture/source"], ("internal", "packages/lib/src/index.ts")), (["some-other"], ("unresolved", None))):
+        found = resolved(Workspace.from_files(spark, CONDITIONED, Config(resolve=Resolve(conditions=conditions))))
+        assert found[main, "@fixture/lib"] == kind
+        assert found[main, "@fixture/lib/helper"] == ("internal", "packages/lib/src/helper.ts")
+
+
+def test_packages_by_main_fields_and_below(spark):
+    w = Workspace.from_files(
+        spark,
+        {
+            "package.json": "{}",
+            "app/a.ts": "import x from 'one'; import y from 'one/lib/deep'; import z from 'two'; import i from 'three'; import e from 'held/x'; import o from 'one/none';",
+            "one/package.json": '{"name": "one", "main": "./main.js", "module": "./esm"}',
+            "one/main.ts": "export default 1",
+            "one/esm/index.ts": "export default 1",
+            "one/lib/deep.ts": "export default 1",
+            "two/package.json": '{"name": "two", "exports": "./src/two.js"}',
+            "two/src/two.ts": "export default 1",
+            "three/package.json": '{"name": "three"}',
+            "three/index.tsx": "export default 1",
+            "app/node_modules/held/package.json": '{"name": "held", "exports": {"./x": "./x.js"}}',
+            "app/node_modules/held/x.js": "",
+            "held/package.json": '{"name": "held"}',
+        },
+    )
+    found = {s: v for (_, s), v in resolved(w).items()}
+    assert found == {
+        "one": ("internal", "one/esm/index.ts"),
+        "one/lib/deep": ("internal", "one/lib/deep.ts"),
+        "one/none": ("unresolved", None),
+        "two": ("internal", "two/src/two.ts"),
+        "three": ("internal", "three/index.tsx"),
+        "held/x": ("external", "held"),
+    }
+
+
+def test_inherited_and_referenced_tsconfig(spark):
+    w = Workspace.from_files(
+        spark,
+        {
+            "package.json": "{}",
+            "tsconfig.json": '{"extends": ["./base/first", "./base/second.json"], "compilerOptions": {}, "references": [{"path": "./tsconfig.app.json"}]}',
+            "tsconfig.app.json": '{"compilerOptions": {"paths": {"#app/*": ["app/*"], "#one": ["app/never"]}}, "extends": "./tsconfig.json"}',
+            "base/first.json": '{"compilerOptions": {"paths": {"@/*": ["wrong/*"]}, "baseUrl": "../shared"}}',
+            "base/second.json": '{"extends": "@cfg/strict", "compilerOptions": {"paths": {"@/*": ["x/*"], "#one": ["one"]}}}',
+            "node_modules/@cfg/strict/tsconfig.json": '{"compilerOptions": {"baseUrl": "."}}',
+            "lib/package.json": "{}",
+            "lib/l.ts": "import a from '@/a'; import b from '#app/b'; import c from '#one'",
+            "node_modules/@cfg/strict/x/a.ts": "",
+            "shared/x/a.ts": "export default 1",
+            "app/b.ts": "export default 1",
+            "shared/one.ts": "export default 1",
+            "node_modules/@cfg/strict/one.ts": "",
+        },
+    )
+    # the later of two extended ones wins with all that it extends, so its baseUrl is the package's
+    assert resolved(w) == {("lib/l.ts", "@/a"): ("external", "node_modules/@cfg/strict/x/a.ts"), ("lib/l.ts", "#app/b"): ("internal", "app/b.ts"), ("lib/l.ts", "#one"): ("external", "node_modules/@cfg/strict/one.ts")}
+
+
+def test_nested_ignore_files_and_negation(spark):
+    w = Workspace.from_files(
+        spark,
+        {
+            ".gitignore": "gen/*\n!gen/keep.ts\n*.tmp.ts\n/only.ts\n\n# no rule\nbuilt/\n",
+            "gen/a.ts": "",
+            "gen/keep.ts": "",
+            "gen/deep/keep.ts": "",
+            "src/x.tmp.ts": "",
+            "src/important.tmp.ts": "",
+            "only.ts": "",
+            "src/only.ts": "",
+            "src/.gitignore": "!important.tmp.ts\nlocal\n/here.ts",
+            "src/local/a.ts": "",
+            "src/deep/local": "",
+            "src/here.ts": "",
+            "src/deep/here.ts": "",
+            "other/local/a.ts": "",
+            "built.ts": "",
+            "x/built/a.ts": "",
+            "x/built.ts/b.ts": "",
+        },
+    )
+    assert sorted(r.path for r in w.sources.select("path").collect()) == ["built.ts", "gen/keep.ts", "other/local/a.ts", "src/deep/here.ts", "src/important.tmp.ts", "src/only.ts", "x/built.ts/b.ts"]
+
+
 def test_packages_and_kind(spark):
     w = Workspace.from_files(
         spark,
