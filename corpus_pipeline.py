@@ -32,12 +32,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; repeated rows of an id count as one.
-    Rows without a doc_id cannot be told apart and stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.where("doc_id is not null").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
-    return _documents(first.join(kept, "doc_id", "left_semi")).unionByName(_documents(docs.where("doc_id is null")))
+    """One document of each group of near copies, the one with the smallest doc_id, nulls last; of different texts under one
+    doc_id each is judged by itself, and of rows alike in doc_id and text one stays."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tag"))
+    judged = near_duplicates(docs.select(name.alias("doc_id"), "text"))
+    kept = judged.where("doc_id = component_id").select("doc_id.*").distinct().withColumnsRenamed({"doc_id": "__id", "tag": "__of"})
+    rows = docs.withColumn("__tag", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")), "left_semi")
+    # the semi-join has dealt rows by doc_id and tag already
+    nth = Window.partitionBy("doc_id", "__tag").orderBy("lang", "source", "n_chars")
+    return _documents(rows.withColumn("__nth", F.row_number().over(nth)).where("__nth = 1"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
