@@ -43,3 +43,21 @@ def test_empty_corpus(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_rows_are_judged_by_their_texts(spark):
+    """Against brute force: repeated and null ids, with alike, near and different texts, null and empty ones."""
+    rng = np.random.default_rng(2)
+    base = [" ".join(f"w{w}" for w in rng.integers(0, 5000, 60)) for _ in range(6)]
+    near = f"{base[0]} end"
+    rows = [(1, base[0], "en"), (1, base[1], "en"), (1, base[0], "de"), (1, base[0], "en"), (2, near, "en"), (2, base[2], "en"), (None, base[3], "en"), (None, base[3], "en"), (3, base[3], None), (None, base[4], "en"), (None, base[5], "en"), (4, "", "en"), (4, None, "en"), (5, "", "en"), (0, near, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", None) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = pipeline.near_duplicate_stage(spark, docs, "").collect()
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    names = sorted({(i is None, i or 0, t or "") for i, t, _ in rows})
+    expected = []
+    for k, (none, i, t) in enumerate(names):
+        alike = [m for m in names[:k] if grams(t) and 10 * len(grams(t) & grams(m[2])) >= 8 * len(grams(t) | grams(m[2])) and (m[:2] < (none, i) or m[2] == t)]
+        expected += [] if alike else [(none, i, t)]
+    # an empty text is like nothing, a null one has a row of its own
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted([*expected, (False, 4, "")])
