@@ -402,9 +402,16 @@ def _(m):
     return rewrite.scope(m.sites, only="^c:[0-9]*5$", barrel="n:3").select("module", "ord")
 
 
-@query("merge_conflicts", "SELECT DISTINCT y.module, y.ord FROM syms y JOIN imports i ON i.module = y.module AND i.target = y.def_module JOIN bindings b ON b.module = i.module AND b.ord = i.ord WHERE y.verdict = 'definition' AND b.imported = '*' AND i.ord <> y.ord")
+_WHOLE = """, whole AS (SELECT module, ord, target FROM imports JOIN bindings USING (module, ord) WHERE imported = '*' UNION SELECT module, 99, def_module FROM syms WHERE verdict = 'definition' AND CAST(substring(module, 3) AS BIGINT) % 4 = 0)
+SELECT DISTINCT y.module, y.ord FROM syms y JOIN whole w ON w.module = y.module AND w.target = y.def_module WHERE y.verdict = 'definition' AND w.ord <> y.ord"""
+
+
+@query("merge_conflicts", _WHOLE)
 def _(m):
-    return rewrite.merge_conflicts(m.symbols, m.imports, m.bindings)
+    # every fourth importer has a definition module as a namespace, too
+    more = m.symbols.where("verdict = 'definition' and cast(substring(module, 3) as bigint) % 4 = 0").select("module", F.lit(99).cast("long").alias("ord"), F.col("def_module").alias("target")).distinct()
+    bindings = more.select("module", "ord", F.lit(0).cast("long").alias("bord"), F.lit("*").alias("imported"))
+    return rewrite.merge_conflicts(m.symbols, m.imports.select("module", "ord", "target").unionByName(more), m.bindings.unionByName(bindings))
 
 
 _RELATIVE = """CASE WHEN split_part(a.file, '/', 1) <> split_part(b.file, '/', 1) THEN '../../../' || b.file
