@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modweave.llm.components import components
-from modweave.llm.runtime import as_long, bitmap_of, chunks, cut, in_bitmap, text_bytes, tidy
+from modweave.llm.runtime import as_long, bitmap_of, chunks, cut, in_bitmap, join_frequent, text_bytes, tidy
 from modweave.llm.streams import whole_groups
 from modweave.llm.words import Words, mix, window_hashes
 
@@ -308,10 +308,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         more = cut(more.distinct().join(star, ["a", "b"], "left_anti"))
         links = links.union(_links(docs, more, sketches, n, seed, num, den))
         roots = components(links, "a", "b")
-    rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "root", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    some = rows.where("n > 0")
+    classes = some.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    least = cut(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    named = cut(join_frequent(classes.select("cls", "root", "copies"), least, "root", "classes").select("cls", "copies", "component_id"))
+    out = join_frequent(some.select("doc_id", "n", "cls"), named, "cls", "copies").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -320,5 +323,3 @@ def _cells(members: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("cls", F.lit(3)), blocks.cast("long")).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return spread.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "root", "n", "sketch")
-
-

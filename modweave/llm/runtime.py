@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 # A chunk of texts that one vectorised step handles at a time; a longer text forms a chunk of its own.
 CHUNK_BYTES = 2 << 20
-# Bits of the broadcast bitmaps that thin out candidates: 2**25 bits are 4 MB, whatever the input.
-BITMAP_BITS = 25
+# Most bits of the broadcast bitmaps that thin out candidates: 2**28 bits are 32 MB, whatever the input.
+BITMAP_BITS = 28
+# Rows of one key beyond which a join does not send them to one task; there are at most rows / FREQUENT such keys.
+FREQUENT = 1 << 18
 _BUCKET_BITS = 32768  # bits in one value of bitmap_construct_agg
 
 
@@ -71,12 +73,29 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
-def bitmap_of(keys: Column, df: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+def join_frequent(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per value of ``on`` and, in ``size``, how many of ``rows`` have it.
+
+    Values of more than ``FREQUENT`` rows are broadcast, of which there are at most rows / FREQUENT, so that no value's rows
+    meet in one task. ``table`` is read twice: cut it before.
+    """
+    often = table.where(F.col(size) > FREQUENT)
+    if not often.limit(1).count():
+        return rows.join(table, on)
+    often = F.broadcast(often)
+    rest = rows.join(often.select(on), on, "left_anti")
+    return rows.join(often, on).unionByName(rest.join(table.where(F.col(size) <= FREQUENT), on))
+
+
+def bitmap_of(keys: Column, df: DataFrame, n: int | None = None) -> np.ndarray:
     """Which of 2**bits slots the 64-bit ``keys`` (their top bits) of ``df`` touch, as bytes of ones and zeros in bit order.
 
-    Built by a native aggregate; the driver receives at most 2**bits bits however many keys there are.
-    A full bitmap lets all candidates pass: it costs time, not results.
+    There are 16 slots and more for each of ``n`` keys (the rows of ``df``, counted where not given) up to 2**BITMAP_BITS.
+    Built by a native aggregate; the driver receives one bit per slot at most. A full bitmap lets all candidates pass: it
+    costs time, not results.
     """
+    n = df.count() if n is None else n
+    bits = min(BITMAP_BITS, max(15, (16 * max(1, n) - 1).bit_length()))
     slot = F.shiftrightunsigned(keys, 64 - bits)
     found = (
         df.select(slot.alias("slot"))
