@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modweave.llm.components import components
-from modweave.llm.runtime import as_long, cut
+from modweave.llm.runtime import as_long, cut, join_frequent
 from modweave.llm.streams import whole_groups
 from modweave.llm.words import mix
 
@@ -225,8 +225,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 128, seed
     roots = components(found.where("rep != root"), "rep", "root").withColumnRenamed("node", "rep")
     classes = classes.join(links, "rep", "left").join(roots, "rep", "left")
     classes = classes.withColumn("root", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-    least_id = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(least_id, "root").select("vector", "n_links", "component_id")
-    linked = rows.where("usable").join(classes, F.col("embedding") == F.col("vector")).select("vec_id", "n_links", "component_id")
+    heads = cut(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("classes")))
+    named = join_frequent(classes.select("root", "vector", "copies", "n_links"), heads, "root", "classes")
+    named = cut(named.select(F.col("vector").alias("embedding"), "copies", "n_links", "component_id"))
+    linked = join_frequent(rows.where("usable").select("vec_id", "embedding"), named, "embedding", "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
