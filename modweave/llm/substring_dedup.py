@@ -219,15 +219,13 @@ def repeated_windows(docs: DataFrame, window: int = 20, base: int = 5) -> DataFr
     length = base
     while length < window:
         seen = docs.select("text").mapInArrow(_stand_ins(base, window, list(known)), "h long, n long")
-        again = seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-        if 2 * length == window:
-            again = cut(again)
-        alive = bitmap_of(F.col("h"), again)
+        again = cut(seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+        candidates = again.count()
+        if not candidates:
+            return spark.createDataFrame([], "doc long, tag long, runs array<struct<start: int, later: long>>")
+        known.append(spark.sparkContext.broadcast(bitmap_of(F.col("h"), again, candidates)))
         length *= 2
         tidy(spark)
-        if not alive.any():
-            return spark.createDataFrame([], "doc long, tag long, runs array<struct<start: int, later: long>>")
-        known.append(spark.sparkContext.broadcast(alive))
     frequent = spark.sparkContext.broadcast(bitmap_of(F.col("h"), again.where(F.col("n") > _FREQUENT)))
     rows = docs.mapInArrow(_runs(base, window, known, frequent), "slot long, doc long, tag long, start int, later long, hashes array<long>")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -242,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, base: int = 5) -> DataFra
     """``docs`` with kept_text, n_words and n_removed: texts without the words that repeated windows cover.
 
     Words are runs of anything but 0x20 and 0x09-0x0D, joined by one space in kept_text. Windows are judged on the
-    input, not on what is left. Null and blank texts have no words and an empty kept_text. Rows that are alike in id
+    input, not on what is left, in the order of doc_id, a whole number. Null and blank texts have no words and an empty kept_text. Rows that are alike in id
     and text are alike in the result; a text of its own under a shared doc_id is judged for itself. kept_text
     takes the place of text; columns named like the results are replaced, all others are kept.
     """
