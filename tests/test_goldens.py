@@ -165,3 +165,43 @@ def test_renderers_tell_the_same(report, tree):
     nodes, edges = tree.nodes(12)
     assert len(nodes) <= 12 and {n["id"][0] for n in nodes} == {"d"} and not edges  # the trees do not refer to each other
     assert [r.barrel for r in tree.warnings().collect()] == ["nested/x/index.ts", "pure/zoo/index.ts"]
+
+
+def generated(spark, total=6000):
+    """An application of many modules behind one barrel, as tables: clients that use two utilities each, hooks and components that import through the barrel, one entrypoint."""
+    clients, utils, hooks = total * 8 // 100, total // 10, total * 7 // 100
+    parts = total - clients - utils - hooks
+    imports, exports = [], []
+
+    def module(path, name, *wanted):
+        exports.append((path, 0, "local", name, name, None, None, False))
+        imports.extend((path, k, target, "named", False, what) for k, (target, what) in enumerate(wanted))
+
+    for i in range(utils):
+        module(f"utils/util{i}", f"util{i}")
+    for i in range(clients):
+        module(f"clients/client{i}", f"Client{i}", *[(f"utils/util{u}", f"util{u}") for u in (i % utils, (i * 7 + 3) % utils)])
+        exports.append(("clients/index", i, "named", f"Client{i}", None, f"Client{i}", f"clients/client{i}", False))
+    through = lambda i: ("clients/index", f"Client{i % clients}")
+    for i in range(hooks):
+        module(f"hooks/use{i}", f"use{i}", through(i))
+    for i in range(parts):
+        module(f"features/f{i % 40}/Part{i}", f"Part{i}", through(i), (f"hooks/use{i % hooks}", f"use{i % hooks}"))
+    imports += [("main", i, f"features/f{i}/Part{i}", "named", False, f"Part{i}") for i in range(40)]
+    paths = [e[0] for e in exports if e[0] != "clients/index"] + ["clients/index", "main"]
+    return Analysis(
+        spark,
+        spark.createDataFrame([(p, False, int(p not in ("clients/index", "main"))) for p in paths], "path string, has_side_effects boolean, own_decls int"),
+        spark.createDataFrame([i[:5] for i in imports], "module string, ord long, target string, kind string, type_only boolean"),
+        spark.createDataFrame([(i[0], i[1], 0, i[5]) for i in imports], "module string, ord long, bord long, imported string"),
+        spark.createDataFrame(exports, "module string, ord long, kind string, name string, local string, imported string, src string, type_only boolean"),
+        Config(entrypoints=["main"]),
+    )
+
+
+def test_a_generated_application(spark):
+    a = generated(spark)
+    barrel = a.barrel_amplification().collect()
+    assert [(b.barrel, b.site_count, b.actual_cost, b.total_excess, b.max_excess, b.max_amplification) for b in barrel] == [("clients/index", 4920, 1047, 5136480, 1044, 349.0)]
+    assert [tuple(r) for r in a.projection().select("before", "after", "removed").collect()] == [(1128, 195, 933)]
+    assert a.cycles().count() == 0 and a.modules.count() == 6002
