@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modweave.llm.runtime import cut
+from modweave.llm.runtime import written
 from modweave.llm.tokens import NAME, library, vocabulary_path
 
 # The template: control strings as rendered, in the order of their reserved ids behind the vocabulary.
@@ -141,7 +141,7 @@ def format_chats(conversations: DataFrame, json_path: str | None = None) -> Data
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:3], F.substring("text", 1, 64)).sortWithinPartitions(*order)
     kind = rows.schema["conv_id"].dataType.simpleString()
     run = _format(json_path or vocabulary_path(NAME, ".json"))
-    found = cut(dealt.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, task int, nth long, token_offset long, ids array<int>, loss_mask array<tinyint>, formatted string"))
+    found = written(dealt.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, task int, nth long, token_offset long, ids array<int>, loss_mask array<tinyint>, formatted string"))
     held = found.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("tokens"))
     before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     begun = held.select(F.col("conv_id").alias("__conv"), F.col("task").alias("__task"), F.sum("n").over(before).alias("__n"), F.sum("tokens").over(before).alias("__tokens")).where("__n > 0")
@@ -149,57 +149,60 @@ def format_chats(conversations: DataFrame, json_path: str | None = None) -> Data
     return found.select("conv_id", (F.col("nth") + F.coalesce("__n", F.lit(0))).alias("nth"), (F.col("token_offset") + F.coalesce("__tokens", F.lit(0))).alias("token_offset"), "ids", "loss_mask", "formatted")
 
 
-def _digests(json_path: str):
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+def _parsed(json_path: str):
+    """Turns (conv_id, nth, role, text, learnt, chars) as their ids and masks read; learnt is null where it is all of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(json_path)
-        state, kind = None, pa.int64()
-        done: list[tuple] = []
-
-        def close():
-            if state is not None:
-                conv, n, turns, chars, loss, formatted = state
-                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
-
-        def flush():
-            types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
-            done.clear()
-            return batch
-
         for batch in batches:
-            kind = batch.column("conv_id").type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 turns = [(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(part.column("ids"), part.column("loss_mask"))]
-                for conv, formatted, (role, text, learnt) in zip(part.column("conv_id").to_pylist(), part.column("chars").to_pylist(), template.parse(turns)):
-                    if state is None or conv != state[0]:
-                        close()
-                        state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    state[3] += len(learnt)
-                    state[4].update(learnt.encode())
-                    state[5] += formatted
-            if done:
-                yield flush()
-        close()
-        if done:
-            yield flush()
+                roles, texts, learnt = zip(*template.parse(turns))
+                learnt = [None if x == t else x for x, t in zip(learnt, texts)]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("nth"), *(pa.array(c, pa.string()) for c in (roles, texts, learnt)), part.column("chars")], ["conv_id", "nth", "role", "text", "learnt", "chars"])
 
     return run
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per conversation of turns that come in order."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    state, kind = None, pa.int64()
+
+    def closed(states: list):
+        types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        rows = [(conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted) for conv, n, turns, chars, loss, formatted in states]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    for batch in batches:
+        kind, done = batch.column("conv_id").type, []
+        for conv, role, text, learnt, formatted in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "learnt", "chars"))):
+            if state is None or conv != state[0]:
+                done += [state] if state is not None else []
+                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            learnt = text if learnt is None else learnt
+            state[1] += 1
+            state[2].update(f"{role}\n{text}\n".encode())
+            state[3] += len(learnt)
+            state[4].update(learnt.encode())
+            state[5] += formatted
+        if done:
+            yield closed(done)
+    if state is not None:
+        yield closed([state])
+
+
 def read_back(chats: DataFrame, json_path: str | None = None) -> DataFrame:
     """Per conversation of ``format_chats``, wherever its rows are: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars, from the ids and masks.
 
-    A digest is over a conversation from its first turn to its last, so one task reads it, as a stream: no conversation is
-    held in memory, however long.
+    Ids are decoded where their rows are. A digest is over a conversation from its first turn to its last, so one task reads
+    its text, as a stream: no conversation is held in memory, however long.
     """
     kind = chats.schema["conv_id"].dataType.simpleString()
-    run = _digests(json_path or vocabulary_path(NAME, ".json"))
+    run = _parsed(json_path or vocabulary_path(NAME, ".json"))
     rows = chats.select("conv_id", "nth", "ids", "loss_mask", F.length("formatted").alias("chars"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    turns = rows.mapInArrow(run, f"conv_id {kind}, nth long, role string, text string, learnt string, chars int")
+    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
+    return turns.mapInArrow(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
