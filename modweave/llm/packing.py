@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``size`` tokens. Which lengths share a sequence is decided on the histogram of
 lengths alone (``size`` counts, whatever the input): few-document patterns whose lengths fill a sequence are
-enumerated, repeat counts are fitted to the histogram by non-negative least squares and rounded down, and what they
-leave is packed best-fit, longest first, many equal pieces at a time. The plan says which ranks of each length go to
+enumerated, repeat counts are fitted to the histogram by non-negative least squares and rounded, and what they leave is
+packed best-fit, longest first, many equal pieces at a time. Of rounding up, to the nearest and down the one that needs the
+fewest sequences is taken, the former where they need as many. The plan says which ranks of each length go to
 which sequence and place; the tasks look it up for their own pieces, whose ranks come from counts per task and length.
 """
 
@@ -21,6 +22,7 @@ from modweave.llm.runtime import chunks, cut, text_bytes
 from modweave.llm.tokens import _CHUNK_BYTES, NAME, Encoder, vocabulary_path
 
 _PARTNERS = 24  # patterns of three lengths that are tried for each first length
+_ROUNDED = (0.999, 0.5, 1e-9)  # what is added to a fitted count before its fraction is dropped
 
 
 def patterns(histogram: np.ndarray, size: int) -> np.ndarray:
@@ -64,8 +66,16 @@ def nonnegative_fit(triples: np.ndarray, histogram: np.ndarray, rounds: int = 30
 
 def plan(histogram: np.ndarray, size: int) -> tuple[list[np.ndarray], int]:
     """For each length the runs (first rank, sequence of that rank, place, sequences to the next rank), and the number of sequences."""
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
+    counts = histogram.astype(np.int64)
+    counts[0] = 0
+    triples = patterns(counts, size)
+    fit = nonnegative_fit(triples, counts) if len(triples) else np.zeros(0)
+    return min((_packed(counts, size, triples, np.floor(fit + up).astype(np.int64)) for up in _ROUNDED), key=lambda found: found[1])
+
+
+def _packed(counts: np.ndarray, size: int, triples: np.ndarray, repeats: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """The plan with these repeats of the triples, most repeated first, as far as there are pieces left."""
+    left = counts.copy()
     runs: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size + 1)]
     taken = np.zeros(size + 1, np.int64)
     sequences = 0
@@ -75,11 +85,9 @@ def plan(histogram: np.ndarray, size: int) -> tuple[list[np.ndarray], int]:
         taken[length] += count
         left[length] -= count
 
-    triples = patterns(left, size)
-    fit = np.floor(nonnegative_fit(triples, left) + 1e-9).astype(np.int64) if len(triples) else np.zeros(0, np.int64)
-    for j in np.argsort(-fit, kind="stable"):
+    for j in np.argsort(-repeats, kind="stable")[: np.count_nonzero(repeats)]:
         lengths = [int(v) for v in triples[j] if v]
-        times = min(int(fit[j]), *(int(left[v]) // lengths.count(v) for v in lengths))
+        times = min(int(repeats[j]), *(int(left[v]) // lengths.count(v) for v in lengths))
         if times > 0:
             at = 0
             for v in lengths:
