@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from modweave.llm import mixing
+from modweave.llm import language as language_module
+from modweave.llm import mixing, packing, runtime
+from modweave.llm import quality as quality_module
 from modweave.llm import substring_dedup as substring
 from modweave.llm.jaccard_join import Bands, near_duplicates
 from modweave.llm.language import UNKNOWN, codewords, languages
@@ -20,6 +22,7 @@ from modweave.llm.quality import quality
 from modweave.llm.runtime import text_bytes
 from modweave.llm.substring_dedup import repeated_windows, substring_dedup
 from modweave.llm.tokens import NAME, Encoder, library, pieces, token_counts, vocabulary_path
+from modweave.llm.words import Words, window_hashes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, bucket string, __x int"
@@ -59,7 +62,9 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def test_near_duplicates(docs, none, rows):
+@pytest.mark.parametrize("frequent", [1 << 18, 2])
+def test_near_duplicates(docs, none, rows, frequent, monkeypatch):
+    monkeypatch.setattr(runtime, "FREQUENT", frequent)
     sets = []
     for r in rows:
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or ""))
@@ -212,6 +217,24 @@ def test_mixing(spark, docs, none, rows):
     assert mix(none).count() == 0
 
 
+def test_patterns_do_most_of_the_packing(monkeypatch):
+    """Of 4,000 pieces most go to sequences that a pattern fills; the plan without them needs as many sequences or more."""
+    lengths = np.random.default_rng(6).geometric(0.002, 4000).clip(1, 2047)
+    h = np.bincount(lengths, minlength=2049)
+    runs, n = plan(h, 2048)
+    end = np.zeros(n, np.int64)
+    members = [[] for _ in range(n)]
+    for length, r in enumerate(runs):
+        for k, (rank, first, _, _) in enumerate(r):
+            for i in range((r[k + 1, 0] if k + 1 < len(r) else h[length]) - rank):
+                members[first + i].append(length)
+                end[first + i] += length
+    assert end.sum() == lengths.sum() and end.max() <= 2048
+    assert sum(len(m) for m, e in zip(members, end) if e == 2048 and len(m) <= 3) > 0.4 * len(lengths)
+    monkeypatch.setattr(packing, "patterns", lambda *_: np.zeros((0, 3), np.int64))
+    assert n <= plan(h, 2048)[1]
+
+
 @pytest.mark.parametrize("near", [128, 10, 1])
 def test_copies_are_the_integers_that_prefix_sums_cross(spark, monkeypatch, near):
     """Against exact fractions, document by document in the order of size, after those that are a good part of their target."""
@@ -300,6 +323,74 @@ def test_quality(spark, docs, none):
     assert quality(none, labels).count() == 0 and {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_grams(text, n, bits):
+    """Buckets of the n-grams of a text, one by one."""
+    return [int(quality_module.grams(np.array([ord(c) for c in text[i : i + n]], "<u4"), n, bits)[0]) for i in range(len(text) - n + 1)]
+
+
+def test_scores_are_the_softmax_of_averaged_vectors(spark):
+    """The lookup of one number per feature against averaging the learned vectors of a text's words, pairs and n-grams."""
+    rows = labelled(120, 5)
+    model = quality_module.train([t for _, t, _ in rows], np.array([q for *_, q in rows]), bits=9, epochs=2)
+    assert model.vectors.any() and model.vectors.shape == (5 << 9, 8)
+    table, bias = model.lookup()
+    shared = type("Shared", (), {"value": (table, bias, 9)})
+    texts = [t for _, t, _ in rows[:30]] + ["", "one", "a a a b", "é日 x  y\n", "\U0001f600 !!! BUY BUY", "x" * 5000]
+    data, offsets = text_bytes(pa.array(texts))
+    found = quality_module._scores(shared)(data, offsets)
+    for text, logit in zip(texts, found):
+        said = words(text)
+        hashes = [Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hash for w in said]
+        ids = [int(h[0] >> np.uint64(64 - 9)) for h in hashes]
+        pairs = [0 if a == b else int(window_hashes(np.concatenate([hashes[i], hashes[i + 1]]), 2)[0] >> np.uint64(64 - 9)) for i, (a, b) in enumerate(zip(said, said[1:]))]
+        ids += [p + (1 << 9) for p in pairs]
+        for kind, n in enumerate((1, 2, 3), 2):
+            ids += [g + (kind << 9) for g in plain_grams(text, n, 9)]
+        hidden = np.mean([model.vectors[i] for i in ids], axis=0) if ids else np.zeros(8)
+        e = np.exp(hidden @ model.weights + model.bias)
+        assert 1 / (1 + np.exp(-logit)) == pytest.approx(e[1] / e.sum(), abs=1e-5)
+
+
+def test_decoding_is_the_least_weighted_loss():
+    """Against plain loops over languages and bits, on the margins of whole texts."""
+    rng = np.random.default_rng(3)
+    names = [f"l{i}" for i in range(7)]
+    texts = [" ".join("".join(rng.choice(list("abcdefg" + "hijklmn"[i % 7] * 9), 4)) for _ in range(12)) for i in range(140)]
+    model = language_module.train(texts, [names[i % 7] for i in range(140)], bits=10, epochs=2)
+    assert model.code.shape[0] == 7 and set(np.unique(model.code)) == {-1.0, 1.0}
+    margins = []
+    for text in texts[:40]:
+        ids = [g + (kind << 10) for kind, n in enumerate((1, 2, 3)) for g in plain_grams(text.lower(), n, 10)]
+        margins.append(np.mean([model.table[i].astype(float) for i in ids], axis=0) + model.bias)
+    data, offsets = text_bytes(pa.array(texts[:40]))
+    total, count = 0, 0
+    for h, begin, n in language_module._features(data, offsets, 10):
+        total, count = total + language_module.sums(model.table[h], begin, n), count + n
+    assert np.allclose(total / count[:, None] + model.bias, margins, atol=1e-5)
+    best, p, ahead = model.decode(np.array(margins))
+    for i, m in enumerate(margins):
+        loss = [sum(w * math.log1p(math.exp(-c * x)) for c, x, w in zip(code, m, model.trust)) for code in model.code]
+        order = sorted(range(7), key=lambda k: loss[k])
+        share = [math.exp(min(loss) - x) for x in loss]
+        assert best[i] == order[0] and p[i] == pytest.approx(share[order[0]] / sum(share)) and ahead[i] == pytest.approx((share[order[0]] - share[order[1]]) / sum(share))
+
+
+def test_columns_named_like_results_are_replaced(docs):
+    clash = docs.select("doc_id", "text", *[F.lit("old").alias(c) for c in ("score", "held_out", "predicted", "lang_pred", "ambiguous", "n_bytes", "n_tokens", "over_limit", "n_words", "n_removed", "kept_text", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "size", "copies", "taken", "n_shingles", "component_id")], F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = docs.sparkSession.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    n = docs.count()
+    for found, columns in (
+        (quality(clash, labels), {"score": "double", "held_out": "boolean", "predicted": "int"}),
+        (languages(clash), {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}),
+        (token_counts(clash), {"n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}),
+        (substring_dedup(clash), {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string"}),
+        (mix(clash), {"size": "bigint", "copies": "bigint", "taken": "bigint"}),
+        (near_duplicates(clash), {"n_shingles": "bigint", "component_id": "bigint"}),
+    ):
+        assert {c: t for c, t in found.dtypes if c in columns} == columns and found.count() == n
+    assert dict(pack(clash).dtypes)["length"] == "bigint" and pack(clash).select("doc_id", "piece").distinct().count() >= docs.select("doc_id").distinct().count()
+
+
 def test_languages(spark, docs, none):
     rng = np.random.default_rng(6)
     parts_ = {"aa": ["ka", "ko", "ki"], "bb": ["ze", "zu", "zo"], "cc": ["thri", "thro"], "dd": ["mué", "muà"], "ee": ["px", "pq"], "ff": ["yo", "ya"]}

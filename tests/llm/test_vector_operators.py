@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modweave.llm import permutation_index
+from modweave.llm import permutation_index, runtime
 from modweave.llm.chat import Template, escape, format_chats, read_back, unescape
 from modweave.llm.components import components
 from modweave.llm.permutation_index import nearest
@@ -43,7 +43,9 @@ def usable(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(np.float32(x) for x in v)
 
 
-def test_near_vectors(spark, table, rows):
+@pytest.mark.parametrize("frequent", [1 << 18, 2])
+def test_near_vectors(spark, table, rows, frequent, monkeypatch):
+    monkeypatch.setattr(runtime, "FREQUENT", frequent)
     good = [i for i, r in enumerate(rows) if usable(r[1])]
     unit = {i: np.array(rows[i][1], np.float32).astype(float) for i in good}
     unit = {i: v / np.abs(v).max() for i, v in unit.items()}
@@ -168,8 +170,9 @@ def test_recall_beside_a_vector_of_huge_norm(spark):
     assert recall(spark, x)[:, 1].mean() >= 0.9
 
 
-@pytest.mark.parametrize("n", [2, 40])
-def test_components_of_chains_and_stars(spark, n):
+@pytest.mark.parametrize("n, frequent", [(2, 1 << 18), (40, 1 << 18), (40, 5)])
+def test_components_of_chains_and_stars(spark, n, frequent, monkeypatch):
+    monkeypatch.setattr(runtime, "FREQUENT", frequent)
     links = [(i, i + 1) for i in range(n - 1)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(n)} | {1000 + i: 1000 for i in range(30)}
