@@ -139,3 +139,49 @@ def test_globs(glob, path, fits):
     import re
 
     assert bool(re.search(resolution.glob_pattern(glob), path)) == fits
+
+
+def folding_links(seed):
+    """Random links with nodes before and behind them that have the same neighbours."""
+    r = random.Random(seed)
+    links = set(random_links(seed, n=12, m=18))
+    for i in range(20):
+        links |= {(f"a{i:02}", f"v{v}") for v in r.choice([(1,), (1, 2), (3,)])} | {(f"v{v}", f"z{i:02}") for v in r.choice([(2,), (4, 5), (6,)])}
+    return sorted(links | {(f"a{i:02}", f"z{i % 3:02}") for i in range(5)} | {("v0", "v0")})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_folded_graphs_agree_with_search(spark, monkeypatch, seed, most):
+    links = folding_links(seed)
+    df, reach = spark.createDataFrame(links, "src string, dst string"), search(links)
+    monkeypatch.setattr(graph, "FOLD_EDGES", 0)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", most)
+    g = graph.fold(df)
+    assert g.names.count() > 20 and g.links.count() < len(links) and (g.shared is None) == (most == 40 and g.links.count() > 40)
+    nodes = sorted({v for link in links for v in link})
+    sources = spark.createDataFrame([(v,) for v in [*nodes, "nowhere"]], "src string")
+    pairs = {(a, b) for a, s in reach.items() for b in s}
+    assert {r.src: r.n for r in graph.closure_sizes(df, sources).collect()} == {**{v: len(reach.get(v, ())) for v in nodes}, "nowhere": 0}
+    assert {r.src: r.n for r in graph.closure_sizes(df, sources, back=True).collect()} == {**{v: sum(v in s for s in reach.values()) for v in nodes}, "nowhere": 0}
+    assert sorted(map(tuple, graph.closure(df, sources).collect())) == sorted(pairs)
+    some = spark.createDataFrame([(a, b) for a in nodes[::3] for b in nodes[::2]], "a string, b string")
+    assert {tuple(r) for r in graph.reachable(df, some, "a", "b").collect()} == {(a, b) for a in nodes[::3] for b in nodes[::2]} & pairs
+    for roots in (["a00"], ["a01", "a07", "z01", "nowhere"], ["v0", "v1"], nodes):
+        start = spark.createDataFrame([(v,) for v in roots], "src string")
+        assert sorted(r.dst for r in graph.reached(df, start).collect()) == sorted({b for a, b in pairs if a in roots})
+    sets = [(0, ["a00", "a01", "a01"]), (1, ["z01", "z02", "z03"]), (2, ["a02", "z01", "z05", "nowhere"]), (3, nodes)]
+    expected = [(i, len({*roots, *(w for v in roots for w in reach.get(v, ()))})) for i, roots in sets]
+    assert sorted(map(tuple, graph.union_sizes(df, spark.createDataFrame(sets, "set_id long, roots array<string>")).collect())) == expected
+
+
+def test_components_beyond_the_budget_are_searched_once_trimmed(spark, monkeypatch):
+    """Long rings among many links that lead nowhere: one search after a trim, not a round of joins per step of a ring."""
+    rings = [(f"r{k}:{i:03}", f"r{k}:{(i + 1) % 300:03}") for k in range(2) for i in range(300)]
+    df = spark.createDataFrame([*rings, *((f"c{i}", "r0:000") for i in range(900)), *(("r1:000", f"z{i}") for i in range(900)), ("s", "s")], "src string, dst string")
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 700)
+    monkeypatch.setattr(graph, "join_components", None)
+    monkeypatch.setattr(analyses, "join_shortest_cycles", None)
+    scc = graph.components(df)
+    assert sorted(map(tuple, scc.collect())) == sorted([*((a, a[:3] + "000") for a, _ in rings), ("s", "s")])
+    assert sorted((r.scc, r.length) for r in analyses.shortest_cycles(df, scc).collect()) == [("r0:000", 300), ("r1:000", 300), ("s", 1)]
