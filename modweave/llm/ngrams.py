@@ -12,6 +12,9 @@ from modweave.llm.runtime import chunks, text_bytes
 _P = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], dtype=np.uint32)
 
 
+_CHUNK_BYTES = 1 << 20  # texts whose n-grams are looked up together: some 60 bytes each
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' code points one after another, and the texts' bounds among them."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
@@ -52,5 +55,5 @@ def scored(batches: Iterator[pa.RecordBatch], parts) -> Iterator[tuple[pa.Record
     """Pairs of a slice of a batch and the sums that ``parts(data, offsets)`` gives for its texts."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, _CHUNK_BYTES):
             yield batch.slice(a, b - a), parts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

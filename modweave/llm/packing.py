@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modweave.llm.runtime import chunks, cut, text_bytes
+from modweave.llm.runtime import chunks, cut, give_back, text_bytes
 from modweave.llm.tokens import _CHUNK_BYTES, NAME, Encoder, vocabulary_path
 
 _PARTNERS = 24  # patterns of three lengths that are tried for each first length
@@ -152,6 +152,8 @@ def _pieces(size: int, end_id: int, json_path: str):
                 columns = [batch.column(c).take(pa.array(a + row)) for c in rest]
                 values = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(length), task, np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays([*columns, *values], [*rest, "piece", "start", "length", "ids_crc32", "task", "nth"])
+                del ids, raw, crc
+                give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -60,6 +61,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what is free in this process to the system: Arrow's pool, and the C library's heap where it can be trimmed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one array of UTF-8 bytes and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,12 +83,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together stay within ``limit`` bytes, or one longer row."""
+    """Ranges of rows whose texts together stay within ``limit`` bytes, or one longer row. What they took is given back after the last one."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    give_back()
 
 
 def join_frequent(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFrame:

@@ -11,17 +11,19 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modweave.llm.runtime import chunks, text_bytes
+from modweave.llm.runtime import chunks, give_back, text_bytes
 
 NAME = "byte_bpe_50k"
 _BATCH_BYTES = 256 << 10
 _CHUNK_BYTES = 16 << 20  # texts whose pieces are made distinct together
+_STEP = 1 << 17  # pieces whose ids are put together at a time
 
 # Kinds of bytes: 1 letter, 2 digit, 3 other visible ASCII, 4 white space that may begin a piece, 0 no boundary here
 _KIND = np.zeros(256, np.uint8)
@@ -34,6 +36,9 @@ _KIND[128:] = _OTHER
 _EDGE = np.zeros((8, 8), bool)
 _EDGE[1:4, 1:4] = ~np.eye(3, dtype=bool)
 _EDGE[[1, 2, 3, 5, 6], 4] = True
+# as tables for bytes.translate: an index of numpy's would take eight bytes for each one
+_KINDS = _KIND.tobytes()
+_EDGES = _EDGE.tobytes().ljust(256, b"\0")
 
 
 def vocabulary_path(name: str, suffix: str) -> str:
@@ -48,7 +53,9 @@ def library(json_path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(json_path)
+    found = Tokenizer.from_file(json_path)
+    give_back()
+    return found
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
@@ -59,17 +66,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.nd
     nor over the place before white space that follows something else. A special string is left whole.
     """
     n = len(data)
-    kind = _KIND[data]
+    raw = data.tobytes()
+    kind = np.frombuffer(bytearray(raw).translate(_KINDS), np.uint8)
     latin = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for two signs
     latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
     kind[latin] = kind[latin + 1] = 1
     mark = np.zeros(n + 1, bool)
-    mark[1:n] = _EDGE.ravel()[(kind[:-1] << 3) | kind[1:]]
+    mark[1:n] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_EDGES), bool)
     # white space beyond ASCII ends in bytes like those of letters: C2 85, C2 A0, E1 9A 80, E2 80 80 to E2 81 9F, E3 80 80
     at = np.flatnonzero(mark[1:n] & (kind[:-1] == _OTHER)) + 1
     two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     mark[at[(two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & np.isin(two, (0x80, 0x81, 0x9A)))]] = False
-    raw = data.tobytes()
     for word in special:
         found = raw.find(word)
         while found >= 0:
@@ -93,32 +100,45 @@ class Encoder:
         self.library = library(json_path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
 
-    def _distinct(self, data: np.ndarray, offsets: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, list]:
-        """For each text where its pieces begin and end among all, for each piece the number of its like, and ``keep`` of the encoding of each like."""
+    def _distinct(self, data: np.ndarray, offsets: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text where its pieces begin and end among all, for each piece the number of its like, for each like its number of ids; ``keep`` gets likes and encodings batch by batch."""
         begin = pieces(data, offsets, self.special)
-        ends = pa.py_buffer(np.append(begin, len(data)).astype("<i8"))
+        ends = pa.py_buffer(np.append(begin, len(data)).astype("<i8", copy=False))
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        texts = found.dictionary.cast(pa.large_string())
-        out: list = [None] * len(texts)
+        bounds, which, texts = np.searchsorted(begin, offsets), found.indices.to_numpy(), found.dictionary.cast(pa.large_string())
+        del begin, ends, found
+        lengths = np.zeros(len(texts), np.int64)
         for rows in by_bytes(np.diff(text_bytes(texts)[1])):
-            for i, e in zip(rows, self.library.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)):
-                out[i] = keep(e)
-        return np.searchsorted(begin, offsets), found.indices.to_numpy(), out
+            encodings = self.library.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)
+            lengths[rows] = [len(e) for e in encodings]
+            keep(rows, encodings)
+        return bounds, which, lengths
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""
-        bounds, which, lengths = self._distinct(data, offsets, len)
-        return np.diff(np.append(0, np.cumsum(np.array(lengths, np.int64)[which]))[bounds])
+        bounds, which, lengths = self._distinct(data, offsets, lambda rows, encodings: None)
+        return np.diff(np.append(0, np.cumsum(lengths[which]))[bounds])
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the texts' bounds among them."""
-        bounds, which, ids = self._distinct(data, offsets, lambda e: np.array(e.ids, "<u4"))
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, "<u4")])
-        begin, size = (np.cumsum(length) - length)[which], length[which]
-        ends = np.append(0, np.cumsum(size))
-        at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
-        return flat[at], ends[bounds]
+        order, flat = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+
+        def keep(rows, encodings):
+            order.append(rows)
+            flat.append(np.fromiter(chain.from_iterable(e.ids for e in encodings), "<u4"))
+
+        bounds, which, lengths = self._distinct(data, offsets, keep)
+        rows, ids = np.concatenate(order), np.concatenate(flat)
+        order.clear()
+        flat.clear()
+        begin = np.empty(len(lengths), np.int64)
+        begin[rows] = np.cumsum(lengths[rows]) - lengths[rows]
+        ends = np.append(0, np.cumsum(lengths[which]))
+        out = np.empty(ends[-1], "<u4")
+        for a in range(0, len(which), _STEP):
+            to = ends[a : a + _STEP + 1]
+            out[to[0] : to[-1]] = ids[np.arange(to[-1] - to[0]) + np.repeat(begin[which[a : a + _STEP]] - (to[:-1] - to[0]), np.diff(to))]
+        return out, ends[bounds]
 
 
 def _counts(json_path: str):

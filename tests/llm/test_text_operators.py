@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -172,6 +173,19 @@ def test_pieces_encode_as_their_text_does():
     assert split(encoder, ["one, two 34x"])[0] == [["one", ",", " two", " 34", "x"]]
 
 
+def test_ids_take_little_memory():
+    texts = [" ".join(f"w{i * j % 9973:x}" for j in range(500)) for i in range(400)]
+    data, offsets = text_bytes(pa.array(texts))
+    encoder = Encoder(vocabulary_path(NAME, ".json"))
+    tracemalloc.start()
+    ids, bounds = encoder.ids(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(data)
+    whole = library(vocabulary_path(NAME, ".json")).encode_batch_fast(texts[::50], add_special_tokens=False)
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(0, 400, 50)] == [e.ids for e in whole]
+
+
 def test_packing(docs, none, rows):
     encoder = library(vocabulary_path(NAME, ".json"))
     got = pack(docs).collect()
