@@ -1,5 +1,6 @@
 """Closures and symbol resolution: broadcast kernels, joins and plain search agree on random graphs."""
 
+import gc
 import random
 
 import pytest
@@ -185,3 +186,19 @@ def test_components_beyond_the_budget_are_searched_once_trimmed(spark, monkeypat
     scc = graph.components(df)
     assert sorted(map(tuple, scc.collect())) == sorted([*((a, a[:3] + "000") for a, _ in rings), ("s", "s")])
     assert sorted((r.scc, r.length) for r in analyses.shortest_cycles(df, scc).collect()) == [("r0:000", 300), ("r1:000", 300), ("s", 1)]
+
+
+def left_behind(spark):
+    """A weak reference to an object of the driver's JVM that only a Python object refers to, in a cycle that Python's collector has to find."""
+    gc.collect()
+    cycle = [spark._jvm.java.lang.Object()]
+    cycle.append(cycle)
+    return spark._jvm.java.lang.ref.WeakReference(cycle[0])
+
+
+def test_what_is_left_behind_goes_before_a_folded_graph_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FOLD_EDGES", 0)
+    df = spark.createDataFrame(folding_links(1), "src string, dst string")
+    ref = left_behind(spark)
+    graph.fold(df)
+    assert ref.get() is None
