@@ -202,3 +202,14 @@ def test_what_is_left_behind_goes_before_a_folded_graph_is_searched(spark, monke
     ref = left_behind(spark)
     graph.fold(df)
     assert ref.get() is None
+
+
+def test_pairs_of_sources_alike_are_many_tasks_work(spark, monkeypatch):
+    links = [*((f"a{i:02}", "m0") for i in range(40)), *((f"m{i}", f"m{i + 1}") for i in range(5))]
+    monkeypatch.setattr(graph, "FOLD_EDGES", 0)
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 20)
+    monkeypatch.setattr(graph, "ALIKE", 4)
+    df = spark.createDataFrame(links, "src string, dst string")
+    rows = graph.closure(df, df.select("src")).selectExpr("src", "dst", "spark_partition_id() as task").collect()
+    assert sorted((r.src, r.dst) for r in rows) == sorted((a, b) for a, s in search(links).items() for b in s)
+    assert len({r.task for r in rows if r.src.startswith("a")}) > 3
