@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, substring dedup, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
-``run`` writes each stage's rows to the shared checkpoint folder, so that the next one reads them back.
+``run`` writes each stage's rows to the shared checkpoint folder, so that the next one reads them back. Stages that move
+texts or sets through Arrow bound the bytes of the session's batches.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from modweave.llm.jaccard_join import near_duplicates
 from modweave.llm.language import UNKNOWN, languages
 from modweave.llm.mixing import mix
 from modweave.llm.packing import pack
-from modweave.llm.runtime import ensure_checkpoint_dir
+from modweave.llm.runtime import bound_batches, ensure_checkpoint_dir
 from modweave.llm.substring_dedup import substring_dedup
 
 _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,6 +28,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those without any letter and those between two languages go; lang stays as given."""
+    bound_batches(spark)
     judged = languages(_documents(docs), keep_text=True)
     return _documents(judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")))
 
@@ -34,6 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, nulls last; of different texts under one
     doc_id each is judged by itself, and of rows alike in doc_id and text one stays."""
+    bound_batches(spark)
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tag"))
     judged = near_duplicates(docs.select(name.alias("doc_id"), "text"))
     kept = judged.where("doc_id = component_id").select("doc_id.*").distinct().withColumnsRenamed({"doc_id": "__id", "tag": "__of"})
@@ -46,6 +49,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeated windows cover; those that lose nothing stay as they are, those that lose all go."""
+    bound_batches(spark)
     cleaned = substring_dedup(docs.select(*_COLUMNS, F.col("text").alias("__whole")))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__whole"))
     cleaned = cleaned.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
@@ -66,6 +70,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents, placed in sequences."""
+    bound_batches(spark)
     return pack(docs.select("doc_id", "text"))
 
 

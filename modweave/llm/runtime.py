@@ -21,6 +21,8 @@ CHUNK_BYTES = 2 << 20
 BITMAP_BITS = 28
 # Rows of one key beyond which a join does not send them to one task; there are at most rows / FREQUENT such keys.
 FREQUENT = 1 << 18
+# Bytes of an Arrow batch where executors have little memory: each task's JVM holds a batch, and twice that while it grows.
+BATCH_BYTES = 8 << 20
 _BUCKET_BITS = 32768  # bits in one value of bitmap_construct_agg
 
 
@@ -61,6 +63,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of the session have ``most`` bytes; a smaller bound that it has already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
 def give_back() -> None:
     """Return what is free in this process to the system: Arrow's pool, and the C library's heap where it can be trimmed."""
     pa.default_memory_pool().release_unused()

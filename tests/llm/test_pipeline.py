@@ -1,8 +1,10 @@
 """The pipeline's stages on a small corpus."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as pipeline
+from modweave.llm.runtime import BATCH_BYTES
 
 
 def corpus(spark):
@@ -61,3 +63,23 @@ def test_rows_are_judged_by_their_texts(spark):
         expected += [] if alike else [(none, i, t)]
     # an empty text is like nothing, a null one has a row of its own
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted([*expected, (False, 4, "")])
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, before = corpus(spark)[0], spark.conf.get(name)
+    wide = spark.range(0, 12_000, 1, 1).selectExpr("id", "repeat('x', 2000) as text")
+    for stage, f in pipeline.STAGES:
+        if stage != "mixing":  # it moves sizes only
+            spark.conf.set(name, before)
+            f(spark, docs, "")
+            found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+            assert len(found) > 1 and max(found) < 1.1 * BATCH_BYTES, stage
+    spark.conf.set(name, str(1 << 20))
+    pipeline.packing_stage(spark, docs, "")
+    assert spark.conf.get(name) == str(1 << 20)  # a smaller bound stays
+    spark.conf.set(name, before)
