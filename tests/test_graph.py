@@ -213,3 +213,16 @@ def test_pairs_of_sources_alike_are_many_tasks_work(spark, monkeypatch):
     rows = graph.closure(df, df.select("src")).selectExpr("src", "dst", "spark_partition_id() as task").collect()
     assert sorted((r.src, r.dst) for r in rows) == sorted((a, b) for a, s in search(links).items() for b in s)
     assert len({r.task for r in rows if r.src.startswith("a")}) > 3
+
+
+def test_symbol_rounds_leave_nothing_behind(spark, monkeypatch):
+    """Each round by joins lets the driver drop what it held; the verdict at the end of a chain is as before."""
+    calls = []
+    monkeypatch.setattr(symbols, "tidy", calls.append)
+    kinds = "module string, ord long, kind string, name string, local string, imported string, src string, type_only boolean"
+    chain = [(f"m{i}", 0, "named", "x", None, "x", f"m{i + 1}", False) for i in range(4)]
+    exports = spark.createDataFrame([*chain, ("m4", 0, "local", "x", "x", None, None, False)], kinds)
+    modules = spark.createDataFrame([(f"m{i}",) for i in range(5)], "path string")
+    found = symbols.join_resolve(spark.createDataFrame([("m0", "x")], "module string, name string"), modules, exports).collect()
+    assert [(r.verdict, r.def_module, r.def_name) for r in found] == [("definition", "m4", "x")]
+    assert len(calls) >= 10  # five rounds each way
