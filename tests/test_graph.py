@@ -7,6 +7,7 @@ import pytest
 
 from modweave.functions import paths
 from modweave.operators import analyses, graph, resolution, symbols
+from modweave.plans.model import Model
 
 
 def random_links(seed, n=25, m=45):
@@ -226,3 +227,44 @@ def test_symbol_rounds_leave_nothing_behind(spark, monkeypatch):
     found = symbols.join_resolve(spark.createDataFrame([("m0", "x")], "module string, name string"), modules, exports).collect()
     assert [(r.verdict, r.def_module, r.def_name) for r in found] == [("definition", "m4", "x")]
     assert len(calls) >= 10  # five rounds each way
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_symbols_narrowed_to_what_seeds_lead_to_agree(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    exports = [(f"m{i}", 0, "star", None, None, None, f"m{r.randrange(4)}") for i in range(4)] + [(f"m{i}", 1, "named", "x", None, "y", f"m{r.randrange(4)}") for i in (0, 1)] + [(f"m{i}", 2, "local", "y", "y", None, None) for i in (2, 3)]
+    exports += [(f"far{i}", 0, "local", "x", "x", None, None) for i in range(40)]
+    exports = spark.createDataFrame(exports, "module string, ord long, kind string, name string, local string, imported string, src string")
+    modules = spark.createDataFrame([(m,) for m in [*(f"m{i}" for i in range(4)), *(f"far{i}" for i in range(40))]], "path string")
+    seeds = spark.createDataFrame([(f"m{i}", n) for i in range(5) for n in ("x", "y", "z")], "module string, name string")
+    pick = lambda df: sorted((tuple(row) for row in df.collect()), key=str)
+    expected = pick(symbols.resolve(seeds, modules, exports))
+    monkeypatch.setattr(symbols, "BROADCAST_EXPORTS", 30)  # of 92 rows; 12 are led to
+    assert pick(symbols.resolve(seeds, modules, exports)) == expected
+    monkeypatch.delattr(symbols, "join_resolve")
+    assert pick(symbols.resolve(seeds, modules, exports, narrow=True)) == expected
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_links_led_to_have_the_same_closures(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "FOLD_EDGES", most)
+    links = random_links(9) + [(f"only{i}", f"v{i % 9}") for i in range(30)]
+    df = spark.createDataFrame(links, "src string, dst string")
+    starts = spark.createDataFrame([("v1",), ("only3",), ("none",)], "src string")
+    fewer = graph.led_to(df, starts)
+    expected = search(links)
+    for found in (graph.closure(fewer, starts), graph.join_closure(fewer, starts)):
+        assert sorted(map(tuple, found.collect())) == sorted((s, d) for s in ("v1", "only3") for d in expected.get(s, ()))
+    assert {s for s, _ in fewer.collect() if s.startswith("only")} == ({"only3"} if most == 0 else {f"only{i}" for i in range(30)})
+
+
+def test_encoded_tables_are_computed_once(spark):
+    m = Model(spark, "/root/testdata/sf0.001")
+    again = m.links.join(m.links.selectExpr("dst as src").unionByName(m.sites.select("module").toDF("src")), "src", "left_semi")
+    for df in (again, m.sites.join(m.bindings, ["module", "ord"]), graph.references(m.imports, m.exports)):
+        leaves = df._jdf.queryExecution().withCachedData().collectLeaves().iterator()
+        names = set()
+        while leaves.hasNext():
+            names.add(leaves.next().nodeName())
+        assert names <= {"LogicalRDD", "InMemoryRelation"}
+    m.release()
